@@ -7,7 +7,7 @@ curve fitted on labelled rows that the dictionaries have not seen.
 
 Learning is bounded: SAMPLE rows of each class, CHARS characters of each. Scores cover all texts.
 
-Defined cases: null and empty texts have difference 0 and so a score like any other; with one class
+Defined cases: null and empty texts have difference 0 and score as the shortest text; with one class
 missing from the labels the score is that class's share; repeated rows are scored each; columns
 named like the new ones are replaced.
 """
@@ -28,6 +28,8 @@ from driftlog.llm.common import held_out, small_batches, table
 
 SAMPLE, CHARS = 1500, 50_000
 BLOCK, LEVEL, DICTIONARY = 2048, 3, 96 << 10
+#: Bytes up to which a text counts as short.
+SHORT = 128
 THRESHOLD = 0.3
 
 
@@ -60,29 +62,33 @@ def difference(text: str, good: bytes, bad: bytes) -> float:
     return sum(len(b.compress(x)) - len(g.compress(x)) for x in blocks(data)) / len(data)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton's method with a little shrinkage."""
-    spread = float(x.std()) or 1.0
-    f = np.stack([x / spread, np.ones_like(x)], 1)
-    w, shrink = np.zeros(2), np.array([1e-2, 1e-6])
-    for _ in range(50):
+def features(sizes: np.ndarray, differences: np.ndarray) -> np.ndarray:
+    """The difference, and how short the text is: little text moves little from what is usual."""
+    return np.stack([differences, SHORT / (SHORT + sizes), np.ones(len(sizes))], 1)
+
+
+def fit_curve(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Coefficients of a logistic curve, by Newton's method with a little shrinkage."""
+    spread = np.where(f.std(0) > 0, f.std(0), 1.0)
+    f, w = f / spread, np.zeros(f.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
-        slope = f.T @ (weight * (p - y)) + shrink * w
-        bend = (f * (weight * p * (1 - p) + 1e-9)[:, None]).T @ f + np.diag(shrink)
+        slope = f.T @ (weight * (p - y)) + 1e-2 * w
+        bend = (f * (weight * p * (1 - p) + 1e-9)[:, None]).T @ f + 1e-2 * np.eye(len(w))
         step = np.linalg.solve(bend, slope)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / spread), float(w[1])
+    return w / spread
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[bytes, bytes, float, float]:
-    """The two dictionaries, slope and offset."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[bytes, bytes, np.ndarray]:
+    """The two dictionaries and the curve."""
     bad_n, good_n = labelled.counts(labels, label)
     rows = labelled.sample_texts(docs, labels, label, SAMPLE, CHARS)
     if not bad_n or not good_n or len({y for y, _ in rows}) < 2:
         share = 0.5 if bad_n == good_n else float(good_n > 0)
-        return b"", b"", 0.0, float(np.clip(np.log((share + 1e-3) / (1 - share + 1e-3)), -7, 7))
+        return b"", b"", np.array([0.0, 0.0, np.log((share + 1e-3) / (1 - share + 1e-3))])
     seen = {0: [], 1: []}
     fresh = []
     for i, (y, t) in enumerate(rows):
@@ -94,13 +100,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[b
     y = np.array([float(q) for q, _ in fresh])
     share = good_n / (good_n + bad_n)  # the sample holds the classes in other shares than the corpus
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return good, bad, *fit_curve(x, y, weight)
+    size = np.array([len(t.encode()) for _, t in fresh])
+    return good, bad, fit_curve(features(size, x), y, weight)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with size_difference, score and predicted (1 from the threshold on)."""
     small_batches(docs.sparkSession)
-    good, bad, slope, offset = train(docs, labels)
+    good, bad, curve = train(docs, labels)
     new = {"size_difference": "double", "score": "double", "predicted": "int"}
     keep = [c for c in docs.columns if c.lower() not in new]
     schema = docs.select(*keep).schema
@@ -109,8 +116,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([difference(t, good, bad) if good else 0.0 for t in b.column("text").to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            x = np.array([difference(t, good, bad) if good else 0.0 for t in texts])
+            size = np.array([len(t.encode()) for t in texts])
+            p = 1 / (1 + np.exp(-np.clip(features(size, x) @ curve, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in keep), pa.array(x, pa.float64()), pa.array(p, pa.float64()), pa.array(p >= threshold).cast(pa.int32())],
                 [*keep, *new],

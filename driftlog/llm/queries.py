@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlog.llm.best_fit_packing import op5_best_fit_packing
+from driftlog.llm.near_dedup import op8_near_dedup
 from driftlog.llm.quality_classifier import op7_quality_classifier
 from driftlog.llm.token_counts import op10_token_counts
 from driftlog.llm.toxicity import op9_toxicity
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_quality_classifier": op7_quality_classifier,
+        "op8_near_dedup": op8_near_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_token_counts": op10_token_counts,
     }
