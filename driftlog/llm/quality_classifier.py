@@ -108,7 +108,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """docs with size_difference, score and predicted (1 from the threshold on)."""
     small_batches(docs.sparkSession)
     good, bad, curve = train(docs, labels)
-    new = {"size_difference": "double", "score": "double", "predicted": "int"}
+    new = {"size_difference": "double", "score": "double", "predicted": "integer"}
     keep = [c for c in docs.columns if c.lower() not in new]
     schema = docs.select(*keep).schema
     for k, v in new.items():

@@ -121,7 +121,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """docs with score and predicted (1 from the threshold on)."""
     small_batches(docs.sparkSession)
     model = fit(labelled.sample_texts(docs, labels, "toxic", SAMPLE, CHARS), *labelled.counts(labels, "toxic"))
-    new = {"score": "double", "predicted": "int"}
+    new = {"score": "double", "predicted": "integer"}
     keep = [c for c in docs.columns if c.lower() not in new]
     schema = docs.select(*keep).schema
     for k, v in new.items():
