@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from driftlog.llm.best_fit_packing import op5_best_fit_packing
 from driftlog.llm.near_dedup import op8_near_dedup
 from driftlog.llm.quality_classifier import op7_quality_classifier
+from driftlog.llm.quality_rules import op3_quality_rules
 from driftlog.llm.token_counts import op10_token_counts
 from driftlog.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_rules": op3_quality_rules,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_near_dedup": op8_near_dedup,
