@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlog.llm.best_fit_packing import op5_best_fit_packing
+from driftlog.llm.decontamination import op1_decontamination
 from driftlog.llm.near_dedup import op8_near_dedup
 from driftlog.llm.quality_classifier import op7_quality_classifier
 from driftlog.llm.quality_rules import op3_quality_rules
@@ -16,6 +17,7 @@ from driftlog.llm.toxicity import op9_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op3_quality_rules": op3_quality_rules,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_quality_classifier": op7_quality_classifier,
