@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from driftlog.llm.best_fit_packing import op5_best_fit_packing
 from driftlog.llm.decontamination import op1_decontamination
 from driftlog.llm.near_dedup import op8_near_dedup
+from driftlog.llm.pii import op4_pii
 from driftlog.llm.quality_classifier import op7_quality_classifier
 from driftlog.llm.quality_rules import op3_quality_rules
 from driftlog.llm.token_counts import op10_token_counts
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op3_quality_rules": op3_quality_rules,
+        "op4_pii": op4_pii,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_near_dedup": op8_near_dedup,
