@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 #: White space that separates words, as the contracts state it.
 SPACE = " \t\n\x0b\x0c\r"
 
-#: At most this many MB of rows stand in one Arrow batch, however long the texts are.
+#: Tables of so many rows at most may be broadcast, after they have been counted.
+BROADCAST_ROWS = 500_000
+
+#: At most this many bytes of rows stand in one Arrow batch, however long the texts are.
 BATCH_BYTES = 8 << 20
 
 
@@ -47,6 +50,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it has BROADCAST_ROWS rows at most (counted), else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers: Arrow batches are cut by bytes, not only by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -23,10 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import materialise, table
+from driftlog.llm.common import broadcast_if_small, materialise, table
 
 WIDTH, PERCENT, RADIUS = 5, 75, 23
-BROADCAST_ROWS = 500_000
 
 
 def _words(text: Column) -> Column:
@@ -74,10 +73,6 @@ def _counted(s: Column) -> Column:
     return F.transform(s, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(s, 1, i + 1), lambda y: y == x))))
 
 
-def _small(d: DataFrame) -> DataFrame:
-    return F.broadcast(d) if d.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else d
-
-
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start_word: the best window for each item that a text holds."""
     items = _hashed(items.select("item_id", "text"), "text").withColumn("n", F.size("h")).filter("n > 0").distinct()
@@ -90,7 +85,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     hashed = _hashed(texts, "text").withColumn("size", F.size("h"))
     for w in widths:
         own = items.filter(F.least("n", F.lit(WIDTH)) == w)
-        places = _small(
+        places = broadcast_if_small(
             own.select("n", F.posexplode(_shingles(F.col("h"), w)).alias("at", "s")).distinct()
         )
         here = (
@@ -101,7 +96,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         )
         anchors = here if anchors is None else anchors.unionByName(here)
     windows = materialise(anchors.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("own")), "windows")
-    held = texts.alias("t").join(_small(windows).alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")))
+    held = texts.alias("t").join(broadcast_if_small(windows).alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")))
     held = _hashed(held.select(F.col("t.doc_id").alias("doc_id"), "text", "own"), "text")
     held = held.select("doc_id", F.explode(F.transform("own", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.slice("h", x["start"] + 1, x["n"]).alias("h")))).alias("x")).select("doc_id", "x.*")
     for w in widths:
@@ -116,7 +111,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         )
         same = F.array_position(F.zip_with(_blocks(F.col("fw")), _blocks(F.col("fi")), lambda a, b: a == b), F.lit(True))
         pairs = (
-            seen.join(_small(own), ["n", "block", "bits"])
+            seen.join(broadcast_if_small(own), ["n", "block", "bits"])
             .filter(F.bit_count(F.col("fw").bitwiseXOR(F.col("fi"))) <= RADIUS)
             .filter(same == F.col("block") + 1)  # a pair that agrees in several blocks counts at the first
             .withColumn("sw", _counted(F.col("sw")))

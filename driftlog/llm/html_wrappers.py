@@ -28,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import materialise, small_batches, table
+from driftlog.llm.common import broadcast_if_small, materialise, small_batches, table
 
 SALTS, LONGEST, PERIOD = 32, 400, 12
-BROADCAST_ROWS = 200_000
 
 #: Elements that end a block of text, and those without content.
 BLOCKS = set(
@@ -359,7 +358,7 @@ def extract(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     hosted = pages.select("page_id", "url", "html").withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")))
     made = materialise(wrappers(hosted), "wrappers")
-    known = F.broadcast(made) if made.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else made
+    known = broadcast_if_small(made)
     joined = hosted.join(known.select("host", F.col("stream").alias("wrapper"), "n", "fixed"), "host", "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
