@@ -35,4 +35,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         before, mark = mark, _mark(e)
         if before == mark:
             break
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

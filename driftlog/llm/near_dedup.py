@@ -1,18 +1,20 @@
 """Near-duplicate groups from bottom-k sketches.
 
 A document's set holds its distinct five-word shingles, hashed by one function; its sketch is the
-K smallest values. Documents with equal sets become one class first. Over the classes' sketches
-there is an inverted list for each retained value. Two sets with a Jaccard similarity of T share at
-least NEED of their retained values (but for one pair in two million at exactly T), so if each class is
-listed only under its size - NEED + 1 rarest values, such a pair still meets in some list, while a
-passage that many documents share lists hardly any of them. Sets of up to K shingles are their own
-sketches; for them the bound is exact.
-
-Lists are compared against a few hubs first; only members that end up in different components
-are then compared pairwise, those outside a list's largest component with all others. So a group of
-thousands of near copies costs a few pairs for each copy, and no link between components is lost.
-Pairs pass an estimate from the union of both sketches, then the exact test on full sets (where both
-sketches are the full sets, the estimate is the exact test).
+K smallest values. Documents with equal sets become one class first. Two sets with a Jaccard
+similarity of T share, of the FEW smallest values of both, FEW_SHARED at least (but for one pair in
+three million at exactly T); classes that do not share as many with anyone are done. Over the others' sketches
+there is an inverted list for each retained value. Similar sets share at least need(n) of them (exact
+for sets up to K, five standard deviations otherwise), so if each class is listed only under its
+size - need + 1 rarest values, such a pair still meets in some list, while a passage that many documents
+share lists hardly any of them. A class's values that nobody shares bound what any partner can share.
+
+Lists are compared against hubs first, the members that share most of their values; only members that
+end up in different components are then compared pairwise, those outside a list's largest
+component with all others. So a group of thousands of near copies costs a few pairs for each
+copy, and no link between components is lost. Pairs pass an estimate from the union of both
+sketches, then the exact test on full sets (where both sketches are the full sets, the estimate
+is the exact test).
 
 Defined cases: null and empty texts have no shingles, are linked with nothing and kept. Texts of
 fewer words than a shingle have one, the whole sequence. Rows that share a doc_id are one document,
@@ -28,18 +30,20 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlog.llm.common import materialise, small_batches, table
 from driftlog.llm.components import components
 
 WIDTH, PERCENT = 5, 75
-#: Retained values; those that two sets of more than K shingles share at least; the estimate below
-#: which a pair is dropped (five standard deviations under the threshold).
-K, NEED, ESTIMATE = 128, 72, 0.56
+#: Retained values, and the estimate below which a pair is dropped (five standard deviations under
+#: the threshold).
+K, ESTIMATE = 256, 0.61
+#: Values for the first look, and how many of them a class must share with others.
+FEW, FEW_SHARED = 24, 7
 #: Rounds of hubs before members are compared pairwise.
-ROUNDS = 3
+ROUNDS = 2
 REMEMBERED = 1_000_000
 
 
@@ -102,51 +106,88 @@ def sketches(docs: DataFrame) -> DataFrame:
                     b.column("doc_id").cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_id(s) for s in sets], pa.int64()),
+                    pa.array([s[:FEW] for s in sets], pa.list_(pa.int64())),
                     pa.array([s[:K] for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "set_id", "sketch"],
+                ["doc_id", "n_shingles", "set_id", "few", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, few array<long>, sketch array<long>")
+
+
+def shared(postings: DataFrame) -> DataFrame:
+    """value, n: the values that stand in more than one posting."""
+    return postings.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def first_look(few: DataFrame) -> DataFrame:
+    """node of each class that shares enough of its few smallest values (columns node, few)."""
+    postings = few.select("node", F.explode("few").alias("value"))
+    hits = postings.join(shared(postings).select("value"), "value").groupBy("node").agg(F.count("*").alias("hits"))
+    least = F.least(F.lit(FEW_SHARED), F.ceil(F.size("few") * PERCENT / 100))
+    return few.join(hits, "node").filter(F.col("hits") >= least).select("node")
 
 
 def listed(classes: DataFrame) -> DataFrame:
-    """(value, node): each class under its rarest retained values, where it is not alone."""
-    postings = classes.select("node", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
-    shared = postings.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    need = F.least(F.lit(NEED), F.ceil(F.col("k") * PERCENT / 100))
-    # values of a class alone come first in its order: they use up places without a partner
-    room = F.col("k") - need + 1 - (F.col("k") - F.size("found"))
+    """(value, node, n, most, alone): each class under its rarest retained values.
+
+    alone: retained values that nobody shares; most: shingles that it can share with anyone.
+    """
+    postings = classes.select("node", F.explode("sketch").alias("value"))
     own = (
-        postings.join(shared, "value")
-        .groupBy("node", "k").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("found"))
-        .withColumn("room", room.cast("int")).filter("room > 0")
-        .select("node", F.explode(F.slice("found", 1, F.col("room"))).alias("f"))
+        postings.join(shared(postings), "value")
+        .groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("found"))
+        .join(classes.select("node", F.col("n_shingles").alias("n"), F.size("sketch").alias("k")), "node")
+    )
+    # of the K smallest values of the union, T * K are in both sets, with this deviation
+    spread = F.sqrt(F.lit(K * PERCENT / 100 * (1 - PERCENT / 100)) * (1 - K * PERCENT / 100 / F.col("n")))
+    need = F.when(F.col("n") <= K, F.least(F.ceil(F.col("k") * PERCENT / 100), F.lit(K * PERCENT // 100))).otherwise(F.floor(K * PERCENT / 100 - 5 * spread))
+    # a set of up to K shingles may meet one that the sketch cuts off
+    need = F.when(F.col("n") * 100 > K * PERCENT, F.least(need, F.floor(K * PERCENT / 100 - 5 * F.sqrt(F.lit(K * PERCENT / 100 * (1 - PERCENT / 100)) * F.greatest(F.lit(0.0), 1 - K * PERCENT * PERCENT / 10000 / F.col("n")))))).otherwise(need)
+    own = own.withColumn("alone", F.col("k") - F.size("found")).withColumn("room", (F.col("k") - need + 1 - F.col("alone")).cast("int"))
+    most = F.when(F.col("n") <= K, F.col("n") - F.col("alone")).otherwise(F.col("n"))
+    return (
+        own.filter("room > 0")
+        .select("node", "n", most.alias("most"), "alone", F.explode(F.slice("found", 1, F.col("room"))).alias("f"))
+        .select(F.col("f.value").alias("value"), "node", "n", "most", "alone")
     )
-    return own.select(F.col("f.value").alias("value"), "node")
+
+
+def possible(x: str, y: str) -> Column:
+    """Whether two classes can reach the threshold by their sizes and what each can share."""
+    return F.expr(
+        f"100 * least(n{x}, n{y}) >= {PERCENT} * greatest(n{x}, n{y}) and {100 + PERCENT} * least(most{x}, most{y}) >= {PERCENT} * (n{x} + n{y})"
+    )
+
+
+def named(lists: DataFrame, x: str, *more: str) -> DataFrame:
+    return lists.select("value", *(F.col(c).alias(f"{c}{x}") for c in ("node", "n", "most", *more)))
 
 
 def hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """Every member with its list's hub; hubs differ by turn and, so that one bad hub does not
-    decide, by eighths of the values."""
-    rank = F.col("node") if turn == 0 else F.xxhash64("node", F.pmod("value", F.lit(8)), F.lit(turn))
+    """Every member with its list's hub: at first the one with most values shared, later, so that
+    one bad hub does not decide, another for each turn and eighth of the values."""
+    rank = F.col("alone") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) if turn == 0 else F.xxhash64("node", F.pmod("value", F.lit(8)), F.lit(turn))
     hubs = lists.groupBy("value").agg(F.min_by("node", rank).alias("hub"))
+    hubs = hubs.join(lists.select("value", F.col("node").alias("hub"), "n", "most"), ["value", "hub"])
+    hubs = hubs.select("value", F.col("hub").alias("nodey"), F.col("n").alias("ny"), F.col("most").alias("mosty"))
     return (
-        lists.join(hubs, "value").filter("node <> hub")
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        named(lists, "x").join(hubs, "value").filter(F.expr("nodex <> nodey") & possible("x", "y"))
+        .select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
     )
 
 
 def cross_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of a list's members that are in different components (column comp)."""
+    """All possible pairs of a list's members that are in different components (column comp)."""
     size = lists.groupBy("value", "comp").agg(F.count("*").alias("n"))
-    main = size.groupBy("value").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    main = size.groupBy("value").agg(F.max_by("comp", F.col("n")).alias("main"))
     marked = lists.join(main, "value")
-    left = marked.filter("comp <> main").select("value", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    right = marked.select("value", F.col("node").alias("y"), F.col("comp").alias("cy"), "main")
+    left = named(marked.filter("comp <> main"), "x", "comp")
+    right = named(marked, "y", "comp", "main")
     return (
-        left.join(right, "value").filter("cx <> cy and (cy = main or x < y)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        left.join(right, "value")
+        .filter(F.expr("compx <> compy and (compy = mainy or nodex < nodey)") & possible("x", "y"))
+        .select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
     )
 
 
@@ -159,10 +200,7 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     near = (
-        pairs.join(classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("pa")), "a")
-        .join(classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("pb")), "b")
-        .filter(f"100 * least(pa, pb) >= {PERCENT} * greatest(pa, pb)").select("a", "b")
-        .join(side("a"), "a").join(side("b"), "b")
+        pairs.join(side("a"), "a").join(side("b"), "b")
         .withColumn("shared", both).withColumn("seen", F.size(union))
         .withColumn("whole", F.expr(f"na <= {K} and nb <= {K}"))
         # of two whole sets, all of the intersection and of the union count
@@ -176,18 +214,19 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     if open_pairs.isEmpty():
         return near.select("a", "b")
     wanted = open_pairs.select(F.col("a").alias("node")).unionByName(open_pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = wanted.join(classes.select("node", "set_id"), "node")
+    wanted = wanted.join(classes.select("node", "doc"), "node")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for b in batches:
             sets = [shingle_set(t) for t in b.column("text").to_pylist()]
-            keep = [i for i, (s, w) in enumerate(zip(sets, b.column("set_id").to_pylist(), strict=True)) if set_id(s) == w]
+            keep = [i for i, (s, w) in enumerate(zip(sets, b.column("node").to_pylist(), strict=True)) if set_id(s) == w]
             yield pa.RecordBatch.from_arrays(
                 [b.column("node").take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["node", "shingles"]
             )
 
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
+    # rows that share an id may have other texts: only the set that is asked for passes
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc")
     sets = materialise(texts.mapInArrow(full, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,22 +250,21 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     rows = materialise(sketches(docs), "sketches")
+    full = rows.filter("n_shingles > 0 and doc_id is not null")
+    nodes = full.groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("doc"))
+    # by both columns: a set that very many documents have does not meet in one place
+    one = full.select(F.col("set_id").alias("node"), F.col("doc_id").alias("doc"), "n_shingles", "few", "sketch")
+    few = one.select("node", "doc", "few").join(nodes, ["node", "doc"]).dropDuplicates(["node", "doc"])
+    live = materialise(first_look(few.select("node", "few")), "live")
     classes = materialise(
-        rows.filter("n_shingles > 0 and doc_id is not null")
-        .groupBy("set_id").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min_by("sketch", "doc_id").alias("sketch")),
-        "classes",
+        one.drop("few").join(nodes.join(live, "node"), ["node", "doc"]).dropDuplicates(["node", "doc"]), "classes"
     )
     lists = materialise(listed(classes), "lists")
-    alone = lists.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").select("value")
-    lists = materialise(lists.join(alone, "value"), "lists")
-    # a document that has two sets (rows that share an id) ties its classes by its id
-    same = rows.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "set_id").distinct()
-    twice = same.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    found = (
-        same.join(twice, "doc_id").join(classes.select("set_id", "node"), "set_id")
-        .select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    )
-    found = materialise(found, "links")
+    lists = materialise(lists.join(shared(lists).select("value"), "value"), "lists")
+    # a document that has two sets (rows that share an id) ties its classes
+    same = full.select("doc_id", F.col("set_id").alias("node")).distinct()
+    ties = same.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("node").alias("a")).filter("n > 1")
+    found = materialise(same.join(ties, "doc_id").filter("node <> a").select("a", F.col("node").alias("b")), "links")
     parts, asked = components(found, "a", "b"), None
     for turn in range(ROUNDS + 1):
         placed = lists.join(parts, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
@@ -242,7 +280,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = similar(pairs, classes, docs)
         found = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
         parts = components(found, "a", "b")
-    group = classes.select("set_id", "node").join(parts, "node", "left").select("set_id", F.coalesce("component", "node").alias("group"))
+    # the smallest id of each component of several classes
+    placed = nodes.join(parts, "node")
+    least = placed.groupBy("component").agg(F.min("doc").alias("least"))
+    group = nodes.join(placed.join(least, "component").select("node", "least"), "node", "left").select(F.col("node").alias("set_id"), F.coalesce("least", "doc").alias("group"))
     out = rows.select("doc_id", "n_shingles", "set_id").join(group, "set_id", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("group", "doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
