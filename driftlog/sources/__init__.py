@@ -1,0 +1 @@
+"""Where rows come from and go to: logs of events, topics, catalogs."""
