@@ -38,7 +38,7 @@ from driftlog.llm.common import materialise, small_batches, table
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers; twice as many at most.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 #: Coarse classes of length, and documents in an enumerated pattern at most.
 CLASSES, FEW = 64, 4
 
@@ -60,7 +60,7 @@ class WordIds:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.whole = regex.compile("<\\|(?:startoftext|endoftext)\\|>|[\x1c-\x1f\x85\u180e\u200b]")
+        self.rare = ["<|startoftext|>", "<|endoftext|>", *"\x1c\x1d\x1e\x1f\x85\u180e\u200b"]
         self.token = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -106,13 +106,13 @@ class WordIds:
                 known[w] = b"".join(map(known.__getitem__, parts))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if self.whole.search(t)}
+        whole = {i for i, t in enumerate(texts) if any(map(t.__contains__, self.rare))}
         split = [[] if i in whole else self.words(t) for i, t in enumerate(texts)]
         known = self.known
-        if new := {w for ws in split for w in ws if w not in known}:
+        if new := set().union(*split).difference(known):
             self.remember(new)
         if self.known is not known:  # it has just begun anew: the rest of the batch, too
-            self.remember({w for ws in split for w in ws})
+            self.remember(set().union(*split))
             known = self.known
         return [
             self.encoded([t])[0] if i in whole else b"".join(map(known.__getitem__, ws))
