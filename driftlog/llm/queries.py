@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftlog.llm import oracles
 from driftlog.llm.best_fit_packing import op5_best_fit_packing
 from driftlog.llm.decontamination import op1_decontamination
 from driftlog.llm.html_wrappers import op2_html_wrappers
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

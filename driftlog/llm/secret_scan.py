@@ -34,7 +34,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 #: Runs that may be a secret of no fixed form.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
 LEFT, RIGHT, INSIDE = 24, 8, 48
 WIDTH = LEFT + INSIDE + RIGHT
 RECALL = 0.98
