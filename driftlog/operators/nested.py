@@ -11,6 +11,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from driftlog.functions.workers import reachable
+
 
 class Cell:
     __slots__ = ("value", "h", "fields")
@@ -62,5 +64,6 @@ def fold(events: DataFrame) -> DataFrame:
         out = [(rows["pk"].iloc[0], "/".join(p), v, h) for p, v, h in root.leaves()]
         return pd.DataFrame(out, columns=["pk", "path", "value", "H"])
 
+    reachable(events.sparkSession)
     kind = events.schema["pk"].dataType.simpleString()
     return events.select("pk", "offset", "path", "op", "value", "H").groupBy("pk").applyInPandas(own, f"pk {kind}, path string, value string, H string")

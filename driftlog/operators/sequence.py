@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftlog.functions.workers import reachable
+
 KEY = ("pk",)
 
 
@@ -53,6 +55,7 @@ def visible(elements: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
         out["position"] = range(len(at))
         return out
 
+    reachable(elements.sparkSession)
     slim = elements.select(*key, "id", "after", "deleted_at")
     return slim.groupBy(*key).applyInPandas(place, f"{kinds.replace(',', ', ')}, id string, position long")
 
@@ -92,6 +95,7 @@ def list_compact(elements: DataFrame, watermark: str, key: Sequence[str] = KEY)
                     todo.append(p)
         return rows[~rows["id"].isin(gone)]
 
+    reachable(elements.sparkSession)
     return elements.groupBy(*key).applyInPandas(shrink, kinds)
 
 
