@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlog.functions.workers import reachable
+
 #: White space that separates words, as the contracts state it.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -56,7 +58,9 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: Arrow batches are cut by bytes, not only by rows."""
+    """Bound the memory of Python workers (Arrow batches are cut by bytes, not only by rows), and let
+    them find this package."""
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
