@@ -178,16 +178,21 @@ def hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
 
 
 def cross_pairs(lists: DataFrame) -> DataFrame:
-    """All possible pairs of a list's members that are in different components (column comp)."""
+    """All possible pairs of a list's members that are in different components (column comp).
+
+    Two classes may meet in many lists; the pair counts in that of their smallest common value.
+    """
     size = lists.groupBy("value", "comp").agg(F.count("*").alias("n"))
     main = size.groupBy("value").agg(F.max_by("comp", F.col("n")).alias("main"))
-    marked = lists.join(main, "value")
-    left = named(marked.filter("comp <> main"), "x", "comp")
-    right = named(marked, "y", "comp", "main")
+    under = lists.groupBy("node").agg(F.collect_list("value").alias("under"))  # at most K
+    marked = lists.join(main, "value").join(under, "node")
+    left = named(marked.filter("comp <> main"), "x", "comp", "under")
+    right = named(marked, "y", "comp", "main", "under")
     return (
         left.join(right, "value")
         .filter(F.expr("compx <> compy and (compy = mainy or nodex < nodey)") & possible("x", "y"))
-        .select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
+        .filter("array_min(array_intersect(underx, undery)) = value")
+        .select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b"))
     )
 
 
@@ -197,17 +202,19 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     def side(x: str) -> DataFrame:
         return classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K)
-    both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
+    both, whole = F.array_intersect("sa", "sb"), F.expr(f"na <= {K} and nb <= {K}")
+    # up to the smaller of the two last values both sketches are complete
+    last = F.least(F.when(F.col("na") > K, F.element_at("sa", -1)), F.when(F.col("nb") > K, F.element_at("sb", -1)))
+
+    def upto(x: Column) -> Column:
+        return F.when(whole, F.size(x)).otherwise(F.size(F.filter(x, lambda v: v <= last)))
+
+    seen = F.struct(whole.alias("whole"), upto(both).alias("shared"), (upto(F.col("sa")) + upto(F.col("sb")) - upto(both)).alias("all"))
     near = (
         pairs.join(side("a"), "a").join(side("b"), "b")
-        .withColumn("shared", both).withColumn("seen", F.size(union))
-        .withColumn("whole", F.expr(f"na <= {K} and nb <= {K}"))
-        # of two whole sets, all of the intersection and of the union count
-        .withColumn("shared", F.when(F.col("whole"), F.size(F.array_intersect("sa", "sb"))).otherwise(F.col("shared")))
-        .withColumn("seen", F.when(F.col("whole"), F.col("na") + F.col("nb") - F.col("shared")).otherwise(F.col("seen")))
-        .filter(F.expr(f"if(whole, 100 * shared >= {PERCENT} * seen, shared >= {ESTIMATE} * seen)"))
-        .select("a", "b", "whole")
+        .select("a", "b", F.explode(F.array(seen)).alias("e"))  # so that it is computed once
+        .filter(F.expr(f"if(e.whole, 100 * e.shared >= {PERCENT} * e.all, e.shared >= {ESTIMATE} * e.all)"))
+        .select("a", "b", "e.whole")
     )
     near = materialise(near, "near")
     open_pairs = near.filter("not whole").select("a", "b")
