@@ -61,10 +61,6 @@ def word_hashes() -> WordHashes:
     return WordHashes()
 
 
-#: Odd multipliers for a shingle's words, from the fractional part of the golden ratio.
-FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1) for i in range(WIDTH)]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -72,6 +68,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Odd multipliers for a shingle's words, each drawn by itself: sums of some must not equal sums of
+#: others, or texts of few repeated words collide.
+with np.errstate(over="ignore"):
+    FACTORS = list(mixed(mixed(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1))
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
     words = (text or "").encode().lower().split()  # of bytes: only A-Z change, only the six spaces split

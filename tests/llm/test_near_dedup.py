@@ -100,3 +100,14 @@ def test_shingle_sets_tell_orders_apart():
     f = lambda t: near_dedup.shingle_set(t).tolist()
     assert f("a b c d e") != f("b a c d e") and f("a b") != f("b a") and f("a b c d e f") != f("a b c d e")
     assert f("A\tb\x0bC d  e") == f("a b c d e") and f("Éa b c d e") != f("éa b c d e") and f("a b c d e f") != f("a b c d e f")
+
+
+def test_texts_of_few_words_do_not_collide():
+    np.seterr(over="ignore")
+    for a in range(32):
+        for b in range(a):
+            x, y = ([("u", "v")[n >> i & 1] for i in range(5)] for n in (a, b))
+            assert near_dedup.shingle_set(" ".join(x)).tolist() != near_dedup.shingle_set(" ".join(y)).tolist()
+    w = "to " * 20 + "of " * 20 + "to " * 20 + "a " * 20
+    words = w.split()
+    assert len(near_dedup.shingle_set(w)) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
