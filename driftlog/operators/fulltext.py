@@ -40,6 +40,11 @@ def apply_changes(index: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     return index.join(gone, ["token", key], "left_anti").unionByName(delta.filter("added").select("token", key))
 
 
+def remove_rows(index: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The index without all postings of these rows."""
+    return index.join(gone.select(key), key, "left_anti")
+
+
 def word_stats(rows: DataFrame, key: str, text: str, least: int = MIN_BYTES) -> DataFrame:
     """key, words: the largest number of words that any version of the row had."""
     return rows.groupBy(key).agg(F.max(F.size(words(F.col(text), least)).cast("long")).alias("words"))

@@ -66,6 +66,18 @@ def put_if_absent(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     return table.unionByName(inserted(table, updates, key))
 
 
+class CapacityExceeded(ValueError):
+    """A bounded state has no room for the new keys."""
+
+
+def put_bounded(table: DataFrame, updates: DataFrame, key: str, most: int) -> DataFrame:
+    """As put, for a state of at most `most` entries: updates of known keys always fit."""
+    after = put(table, updates, key)
+    if after.select(key).distinct().limit(most + 1).count() > most:
+        raise CapacityExceeded(f"more than {most} entries")
+    return after
+
+
 def inserted(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """The updates that put_if_absent takes."""
     return updates.join(table.select(key), key, "left_anti")

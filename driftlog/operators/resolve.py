@@ -67,6 +67,13 @@ def resolve(events: DataFrame, values: Sequence[str], key: Sequence[str] = KEY)
     return own.select(*key, F.col("cell.tombstone").alias("tombstone"), *(F.when(~F.col("cell.tombstone"), F.col(f"cell.{v}")).alias(v) for v in values), "H")
 
 
+def replay(snapshot: DataFrame, events: DataFrame, values: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
+    """Rows after events that arrived since a snapshot of resolved rows: what recovery does. The
+    snapshot's cells count as arrivals before all others."""
+    before = snapshot.select(*key, F.lit(-1).cast("long").alias("offset"), F.when(F.col("tombstone"), "delete").otherwise("replace").alias("op"), *values, "H")
+    return resolve(before.unionByName(events.select(*key, "offset", "op", *values, "H")), values, key)
+
+
 def resolve_with_sync(events: DataFrame, values: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
     """As resolve, where set_sync events (column sync) take part: sync flag, value and clock."""
     cell = F.struct((F.col("op") == "delete").alias("tombstone"), *(F.col(v) for v in values))

@@ -39,6 +39,14 @@ def lww_root_live(spark, sf_dir):
     return resolve.live(resolve.resolve(writes(spark, sf_dir), ["value"])).select("pk", "value")
 
 
+def snapshot_replay(spark, sf_dir):
+    """A snapshot of the log's first half, then the rest replayed over it."""
+    e = writes(spark, sf_dir)
+    half = e.agg(F.max("offset")).first()[0] // 2
+    base = resolve.resolve(e.filter(F.col("offset") <= half), ["value"])
+    return resolve.replay(base, e.filter(F.col("offset") > half), ["value"]).select("pk", "tombstone", "value", "H")
+
+
 def lww_cell_clock(spark, sf_dir):
     return resolve.max_clock(log(spark, sf_dir))
 
@@ -130,7 +138,7 @@ def nested_path_fold(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        lww_root_resolve, lww_root_live, lww_cell_clock, lww_change_feed, set_sync_gate, set_sync_feed, remote_origin_filter, nested_sync_policy,
+        lww_root_resolve, lww_root_live, snapshot_replay, lww_cell_clock, lww_change_feed, set_sync_gate, set_sync_feed, remote_origin_filter, nested_sync_policy,
         type_heal_root, cell_merge_tombstone, scalar_merge_replicas, tombstone_gc, subtree_max_clock, nested_path_fold,
     )
 }
@@ -142,6 +150,7 @@ PATHS = """, p AS (SELECT *, CASE "offset"%3 WHEN 0 THEN '' WHEN 1 THEN 'f'||("o
 SQL = {
     "lww_root_resolve": f"WITH {WRITES}{RESOLVED} SELECT pk, tombstone, value, H FROM r",
     "lww_root_live": f"WITH {WRITES}{RESOLVED} SELECT pk, value FROM r WHERE NOT tombstone",
+    "snapshot_replay": f"WITH {WRITES}{RESOLVED} SELECT pk, tombstone, value, H FROM r",
     "lww_cell_clock": f"WITH {LOG_SQL} SELECT pk, max(H) AS H FROM log GROUP BY pk",
     "lww_change_feed": f"""WITH {WRITES}, s AS (SELECT * FROM w){EFFECTIVE}, f AS (SELECT pk, "offset", H, op='delete' AS tombstone,
   CASE WHEN op='replace' THEN value END AS value FROM e)

@@ -93,6 +93,12 @@ def fulltext_lookup(spark, sf_dir):
     return fulltext.lookup(index, ["the", "and"], "doc_id")
 
 
+def fulltext_remove(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    index = fulltext.remove_rows(fulltext.postings(docs, "doc_id", "text"), docs.filter("doc_id % 10 = 0"), "doc_id")
+    return fulltext.index_summary(index, "doc_id")
+
+
 def _changed(spark, sf_dir):
     """Every third document has lost what follows its last line break."""
     d = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0")
@@ -195,6 +201,19 @@ def stream_resolve(spark, sf_dir):
     return spark.table(name)
 
 
+def stream_fulltext(spark, sf_dir):
+    """Postings appended batch by batch to a folder, then summed up as in the batch query."""
+    name = f"stream_{uuid.uuid4().hex}"
+    at = _folder(spark, name)
+    rows = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    q = (
+        fulltext.postings(rows, "doc_id", "text").writeStream.format("parquet").option("path", f"{at}/index")
+        .option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return fulltext.index_summary(spark.read.parquet(f"{at}/index"), "doc_id")
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     """Checkpoints go to the folder that the cluster names for them."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -205,8 +224,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         topic_segments, topic_stats, topic_read_from_offset, consumer_lag, topic_retention, subscription_glob_match, poll_round_robin, due_timers,
-        retry_backoff_schedule, fulltext_index, fulltext_lookup, fulltext_incremental, indexer_stats, archiver_report, merkle_leaves, merkle_root,
-        merkle_diff_replicas, scripted_filter, stream_changes, stream_resolve,
+        retry_backoff_schedule, fulltext_index, fulltext_lookup, fulltext_remove, fulltext_incremental, indexer_stats, archiver_report, merkle_leaves, merkle_root,
+        merkle_diff_replicas, scripted_filter, stream_changes, stream_resolve, stream_fulltext,
     )
 }
 
@@ -223,6 +242,8 @@ SQL = {
     "due_timers": f"""WITH {LOG_SQL} SELECT event_type AS operator, k*1000 AS fire_at, max("offset") AS payload FROM log WHERE k*1000<=50000 AND event_type IN ('view','click') GROUP BY ALL""",
     "retry_backoff_schedule": "SELECT CAST(a AS BIGINT) AS attempt, CAST(d AS BIGINT) AS delay_ms FROM (VALUES (1,110),(2,217),(3,401),(4,838),(5,1745),(6,3228),(7,6734),(8,14026),(9,25978),(10,31745),(11,33039)) v(a,d)",
     "fulltext_index": f"WITH {TOKENS} SELECT token, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM tk WHERE {LONG} GROUP BY token",
+    "fulltext_remove": f"WITH {TOKENS} SELECT token, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM tk WHERE {LONG} AND doc_id % 10 <> 0 GROUP BY token",
+    "stream_fulltext": f"WITH {TOKENS} SELECT token, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM tk WHERE {LONG} GROUP BY token",
     "fulltext_lookup": f"WITH {TOKENS} SELECT doc_id FROM tk WHERE token='the' INTERSECT SELECT doc_id FROM tk WHERE token='and'",
     "fulltext_incremental": f"WITH documents2 AS (SELECT doc_id, CASE WHEN doc_id%3=0 THEN split_part(text, chr(10), 1) ELSE text END AS text FROM documents), {TOKENS.replace('documents', 'documents2')} SELECT token, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM tk WHERE {LONG} GROUP BY token",
     "indexer_stats": r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda token: octet_length(encode(token)) >= 2)) AS BIGINT) AS words FROM documents",

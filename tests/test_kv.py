@@ -53,3 +53,9 @@ def test_overlays_agree_and_size_matches(base, updates):
     a, b = kv.overlay(base, updates, "k"), kv.overlay_unordered(base, updates, "k")
     assert rows(a) == rows(b) and kv.overlay_size(base, updates, "k").first().size == a.count() == 7
     assert {r.k: r.found for r in kv.contains(base, updates, "k").collect()} == {4: True, 9: False}
+
+
+def test_bounded_states_take_known_keys_only_when_full(base, updates):
+    assert kv.put_bounded(base, updates.filter("k = 4"), "k", 6).count() == 6
+    with pytest.raises(kv.CapacityExceeded):
+        kv.put_bounded(base, updates, "k", 6)
