@@ -30,6 +30,20 @@ def gate(events: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return events.withColumn("eff", beats(F.col("H"), F.max("H").over(_before(key))))
 
 
+def gate_by_stretches(events: DataFrame, key: Sequence[str] = KEY, stretch: int = 1 << 16) -> DataFrame:
+    """As gate, for logs where one key may hold a large share of all events: no task needs more than
+    a stretch of offsets of a key. The newest clock before a stretch comes from the stretches' own
+    maxima, which are as many as there are stretches, not events."""
+    own = [*key, "_stretch"]
+    e = events.withColumn("_stretch", F.floor(F.col("offset") / stretch))
+    newest = e.groupBy(*own).agg(F.max("H").alias("_newest"))
+    order = Window.partitionBy(*key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = newest.select(*own, F.max("_newest").over(order).alias("_before"))
+    within = F.max("H").over(Window.partitionBy(*own).orderBy("offset").rowsBetween(Window.unboundedPreceding, -1))
+    known = F.greatest(F.coalesce(within, F.lit(ZERO)), F.coalesce("_before", F.lit(ZERO)))
+    return e.join(before, own).withColumn("eff", beats(F.col("H"), known)).drop("_stretch", "_before")
+
+
 def accept_remote(events: DataFrame, local_device: str, synced: Column | None = None) -> DataFrame:
     """Without remote devices' events, unless their target is synced; set_sync always passes."""
     passes = (F.col("op") == "set_sync") | (F.col("dev") == local_device)

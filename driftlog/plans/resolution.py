@@ -56,6 +56,11 @@ def lww_change_feed(spark, sf_dir):
     return f.select("pk", "offset", "H", F.col("current.tombstone").alias("tombstone"), F.col("current.value").alias("value"), "previous_H", F.col("previous.value").alias("previous_value"), "has_previous")
 
 
+def lww_gate_by_stretches(spark, sf_dir):
+    """Effective events, by stretches of a thousand offsets."""
+    return resolve.gate_by_stretches(writes(spark, sf_dir), stretch=1000).filter("eff").select("pk", "offset", "op", "H")
+
+
 def set_sync_gate(spark, sf_dir):
     return resolve.resolve_with_sync(with_sync(spark, sf_dir), ["value"]).select("pk", "tombstone", "value", "sync", "H")
 
@@ -138,7 +143,7 @@ def nested_path_fold(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        lww_root_resolve, lww_root_live, snapshot_replay, lww_cell_clock, lww_change_feed, set_sync_gate, set_sync_feed, remote_origin_filter, nested_sync_policy,
+        lww_root_resolve, lww_root_live, snapshot_replay, lww_cell_clock, lww_change_feed, lww_gate_by_stretches, set_sync_gate, set_sync_feed, remote_origin_filter, nested_sync_policy,
         type_heal_root, cell_merge_tombstone, scalar_merge_replicas, tombstone_gc, subtree_max_clock, nested_path_fold,
     )
 }
@@ -156,6 +161,7 @@ SQL = {
   CASE WHEN op='replace' THEN value END AS value FROM e)
 SELECT pk, "offset", H, tombstone, value, lag(H) OVER o AS previous_H, lag(value) OVER o AS previous_value, lag(1) OVER o IS NOT NULL AS has_previous
 FROM f WINDOW o AS (PARTITION BY pk ORDER BY "offset")""",
+    "lww_gate_by_stretches": f"""WITH {WRITES}, s AS (SELECT * FROM w){EFFECTIVE} SELECT pk, "offset", op, H FROM e""",
     "set_sync_gate": f"""WITH {SYNCED}{EFFECTIVE} SELECT pk, coalesce(arg_max(op='delete', "offset") FILTER (op<>'set_sync'), true) AS tombstone,
   last(CASE WHEN op='replace' THEN value END ORDER BY "offset") FILTER (op<>'set_sync') AS value,
   arg_max(sync, "offset") FILTER (op='set_sync') AS sync, max(H) AS H FROM e GROUP BY pk""",
