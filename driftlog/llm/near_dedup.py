@@ -131,9 +131,10 @@ def first_look(few: DataFrame) -> DataFrame:
 
 
 def listed(classes: DataFrame) -> DataFrame:
-    """(value, node, n, most, alone): each class under its rarest retained values.
+    """(value, node, n, most, alone, rest): each class under its rarest retained values.
 
-    alone: retained values that nobody shares; most: shingles that it can share with anyone.
+    alone: retained values that nobody shares; most: shingles that it can share with anyone; rest:
+    retained values that are neither alone nor listed.
     """
     postings = classes.select("node", F.explode("sketch").alias("value"))
     own = (
@@ -148,10 +149,11 @@ def listed(classes: DataFrame) -> DataFrame:
     need = F.when(F.col("n") * 100 > K * PERCENT, F.least(need, F.floor(K * PERCENT / 100 - 5 * F.sqrt(F.lit(K * PERCENT / 100 * (1 - PERCENT / 100)) * F.greatest(F.lit(0.0), 1 - K * PERCENT * PERCENT / 10000 / F.col("n")))))).otherwise(need)
     own = own.withColumn("alone", F.col("k") - F.size("found")).withColumn("room", (F.col("k") - need + 1 - F.col("alone")).cast("int"))
     most = F.when(F.col("n") <= K, F.col("n") - F.col("alone")).otherwise(F.col("n"))
+    own = own.withColumn("rest", F.col("k") - F.col("alone") - F.least(F.col("room"), F.size("found")))
     return (
         own.filter("room > 0")
-        .select("node", "n", most.alias("most"), "alone", F.explode(F.slice("found", 1, F.col("room"))).alias("f"))
-        .select(F.col("f.value").alias("value"), "node", "n", "most", "alone")
+        .select("node", "n", most.alias("most"), "alone", "rest", F.explode(F.slice("found", 1, F.col("room"))).alias("f"))
+        .select(F.col("f.value").alias("value"), "node", "n", "most", "alone", "rest")
     )
 
 
@@ -182,18 +184,25 @@ def hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
 def cross_pairs(lists: DataFrame) -> DataFrame:
     """All possible pairs of a list's members that are in different components (column comp).
 
-    Two classes may meet in many lists; the pair counts in that of their smallest common value.
+    Two classes may meet in many lists; the pair counts in that of their smallest common value. Any
+    two from different components meet in open lists wherever both are listed, so what they share is
+    what these lists say and, beyond the last value of the one whose listing ends first, its rest at
+    most. Where sets are their own sketches, pairs that cannot reach the threshold so are passed over.
     """
     size = lists.groupBy("value", "comp").agg(F.count("*").alias("n"))
     main = size.groupBy("value").agg(F.max_by("comp", F.col("n")).alias("main"))
     under = lists.groupBy("node").agg(F.collect_list("value").alias("under"))  # at most K
     marked = lists.join(main, "value").join(under, "node")
-    left = named(marked.filter("comp <> main"), "x", "comp", "under")
-    right = named(marked, "y", "comp", "main", "under")
+    meet = F.expr(
+        f"array_min(array_intersect(underx, undery)) = value and (greatest(nx, ny) > {K} or "
+        f"{100 + PERCENT} * (size(array_intersect(underx, undery)) + greatest(restx, resty)) >= {PERCENT} * (nx + ny))"
+    )
+    left = named(marked.filter("comp <> main"), "x", "comp", "under", "rest")
+    right = named(marked, "y", "comp", "main", "under", "rest")
     return (
         left.join(right, "value")
         .filter(F.expr("compx <> compy and (compy = mainy or nodex < nodey)") & possible("x", "y"))
-        .filter("array_min(array_intersect(underx, undery)) = value")
+        .filter(meet)
         .select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b"))
     )
 
