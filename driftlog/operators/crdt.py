@@ -99,6 +99,11 @@ def mv_values(assigns: DataFrame, removals: DataFrame, key: Sequence[str] = KEY)
     return assigns.join(removals.select(*key, "id"), [*key, "id"], "left_anti")
 
 
+def mv_observe(values: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """What an assignment issued now replaces: the ids of all current values."""
+    return values.groupBy(*key).agg(F.array_sort(F.collect_set("id")).alias("replaces"))
+
+
 def mv_compact(removals: DataFrame, watermark: str) -> DataFrame:
     return removals.filter((F.col("id") > watermark) | (F.col("removed") > watermark))
 
@@ -132,6 +137,15 @@ def pq_compact(pushes: DataFrame, pops: DataFrame, watermark: str, key: Sequence
     return pushes.join(stable.select(*key, "id"), [*key, "id"], "left_anti")
 
 
+# replicas that disagree
+
+
+def conflicts(replicas: DataFrame, identity: Sequence[str], payload: Sequence[str]) -> DataFrame:
+    """Identities whose immutable payload differs between replicas: a merge must refuse them."""
+    own = replicas.groupBy(*identity).agg(F.countDistinct(F.to_json(F.struct(*payload))).alias("_n"))
+    return own.filter("_n > 1").select(*identity)
+
+
 # records: cells (key, field, tombstone, value, H)
 
 

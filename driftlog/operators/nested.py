@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from driftlog.functions.workers import reachable
 
@@ -52,6 +53,16 @@ class Cell:
             yield from self.fields[name].leaves((*path, name))
 
 
+def project(cells: DataFrame, path: str) -> DataFrame:
+    """Of folded cells (pk, path, value, H) those at a path or below it."""
+    return cells.filter((F.col("path") == path) | F.col("path").startswith(path + "/") | F.lit(path == ""))
+
+
+def newest(cells: DataFrame) -> DataFrame:
+    """pk, H: the newest clock in each row's cells."""
+    return cells.groupBy("pk").agg(F.max("H").alias("H"))
+
+
 def fold(events: DataFrame) -> DataFrame:
     """pk, path (fields joined by /), value, H of every cell that was written, tombstones too."""
 

@@ -138,3 +138,21 @@ def text_compact(attrs: DataFrame, watermark: str) -> DataFrame:
     return attrs.filter(F.col("value").isNotNull() | (F.col("H") > watermark))
 
 
+
+
+def id_at(shown: DataFrame, position: int) -> DataFrame:
+    """Of visible elements (key, id, position) the one at a position of each sequence."""
+    return shown.filter(F.col("position") == position)
+
+
+def format_range(shown: DataFrame, start: int, end: int, attr: str, value: str | None, h: str, key: Sequence[str] = KEY) -> DataFrame:
+    """The format operation (key, ids, attr, value, H) for the visible interval [start, end)."""
+    own = shown.filter((F.col("position") >= start) & (F.col("position") < end))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda x: x["id"])
+    return own.groupBy(*key).agg(ids.alias("ids")).select(*key, "ids", F.lit(attr).alias("attr"), F.lit(value).cast("string").alias("value"), F.lit(h).alias("H"))
+
+
+def format_at(shown: DataFrame, attrs: DataFrame, position: int, key: Sequence[str] = KEY) -> DataFrame:
+    """key, attr, value: what the character at a position wears."""
+    at = id_at(shown, position).select(*key, "id")
+    return attrs.filter(F.col("value").isNotNull()).join(at, [*key, "id"]).select(*key, "attr", "value")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from driftlog.functions.globs import matches_name
 from driftlog.functions.retry import RetryConfig, backoff_ms
 from driftlog.operators import resolve
+from driftlog.sources import topics
 
 EVENT = "offset long, pk string, op string, value string, H string, dev string"
 CONTINUE, FINISH = "continue", "finish"
@@ -116,6 +117,24 @@ class Table:
     def changes(self) -> DataFrame:
         return resolve.change_feed(self.events(), ["value"])
 
+    def stats(self) -> DataFrame:
+        """Records of the log, first and next offset, rows (tombstones count)."""
+        return topics.stats(self._open().spark.read.schema(EVENT).parquet(self.path)).withColumn("rows", F.lit(self.rows().count()))
+
+    def compact(self) -> None:
+        """Rewrites the log's small files as few, in order of arrival. A stream would take the new
+        files for new events, so no active operator may follow the table."""
+        db = self._open()
+        if any(db.phase(op) == ACTIVE and self.name in db.inputs(op) for op in db.operators.read()):
+            raise RuntimeError(f"an operator follows {self.name}")
+        log = db.spark.read.schema(EVENT).parquet(self.path)
+        fresh = self.path + ".compact"
+        log.repartitionByRange("offset").sortWithinPartitions("offset").write.mode("overwrite").parquet(fresh)
+        old = self.path + ".old"
+        os.rename(self.path, old)
+        os.rename(fresh, self.path)
+        shutil.rmtree(old)
+
     def snapshot(self, path: str) -> None:
         """The resolved rows in order of the key, as a version on its own."""
         self.rows().repartitionByRange("pk").sortWithinPartitions("pk").write.mode("overwrite").parquet(path)
@@ -334,6 +353,39 @@ class Database:
             self.timers.drop(key)
         self.operators.put(name, {"config": self.operators.read()[name]["config"], "phase": phase, "error": error})
 
+    # introspection
+
+    def contains_table(self, name: str) -> bool:
+        return name in self.tables.read()
+
+    def contains_operator(self, name: str) -> bool:
+        return name in self.operators.read()
+
+    def is_operator_open(self, name: str) -> bool:
+        return name in self.running
+
+    def list_tables(self) -> list[str]:
+        return sorted(self.tables.read())
+
+    def list_states(self) -> list[str]:
+        return sorted(self.states.read())
+
+    def list_operators(self) -> list[str]:
+        return sorted(self.operators.read())
+
+    def list_open_operators(self) -> list[str]:
+        return sorted(self.running)
+
+    def table_config(self, name: str) -> TableConfig | None:
+        own = self.tables.read().get(name)
+        return TableConfig(**own) if own else None
+
+    def operator_config(self, name: str) -> OperatorConfig | None:
+        return self._config(name) if self.contains_operator(name) else None
+
+    def operator_error(self, name: str) -> str | None:
+        return self.operators.read().get(name, {}).get("error")
+
     # timers: one for each time and operator, the last payload counts; delivered until handled
 
     def register_timer(self, name: str, fire_at_ms: int, payload: object) -> None:

@@ -83,3 +83,16 @@ def test_list_compaction_keeps_anchors(spark):
     e = spark.createDataFrame([("l", "1", None, "1z"), ("l", "2", "1", None), ("l", "3", "2", "3z"), ("l", "4", "3", "4z")], "pk string, id string, after string, deleted_at string")
     assert {r.id for r in sequence.list_compact(e, "zz").collect()} == {"1", "2"}
     assert {r.id for r in sequence.list_compact(e, "").collect()} == {"1", "2", "3", "4"}
+
+
+def test_builders_and_conflicts(spark):
+    shown = spark.createDataFrame([("t", c, i) for i, c in enumerate("abcd")], "pk string, id string, position long")
+    op = sequence.format_range(shown, 1, 3, "bold", "on", "5")
+    assert op.first().ids == ["b", "c"] and sequence.id_at(shown, 2).first().id == "c"
+    attrs = sequence.text_format(op)
+    assert [tuple(r) for r in sequence.format_at(shown, attrs, 1).collect()] == [("t", "bold", "on")]
+    assert sequence.format_at(shown, attrs, 3).isEmpty()
+    values = spark.createDataFrame([("a", "2", "v"), ("a", "1", "w")], "pk string, id string, value string")
+    assert crdt.mv_observe(values).first().replaces == ["1", "2"]
+    two = spark.createDataFrame([("a", "1", "x"), ("a", "1", "y"), ("a", "2", "x"), ("a", "2", "x")], "pk string, id string, value string")
+    assert [r.id for r in crdt.conflicts(two, ["pk", "id"], ["value"]).collect()] == ["1"]

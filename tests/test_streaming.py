@@ -137,6 +137,20 @@ def test_catalogs_types_and_handles(spark, db):
         t.path  # noqa: B018
 
 
+def test_introspection_stats_and_compaction(spark, db):
+    t = db.table("users")
+    for ms in (100, 50, 120):
+        t.insert(rows(spark, ("u1", str(ms), ms)))
+    db.operator("f", OperatorConfig("flaky", ["nothing"], settings={"fails": 0}))
+    assert db.list_tables() == ["users"] and db.contains_table("users") and not db.contains_table("x") and db.table_config("x") is None
+    assert db.list_operators() == db.list_open_operators() == ["f"] and db.is_operator_open("f") and db.operator_config("f").kind == "flaky"
+    before = t.rows().collect()
+    t.compact()
+    assert t.rows().collect() == before
+    s = t.stats().first()
+    assert (s.records, s.earliest, s.next_offset, s.rows) == (3, 0, 3, 1)
+
+
 def test_topics_register_at_tail_reset_seek_and_compact(spark, tmp_path):
     t = Topic(spark, str(tmp_path / "t"), "v long")
     make = lambda a, b: spark.createDataFrame([(i,) for i in range(a, b)], "v long")
