@@ -101,14 +101,13 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     held = held.select("doc_id", F.explode(F.transform("own", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.slice("h", x["start"] + 1, x["n"]).alias("h")))).alias("x")).select("doc_id", "x.*")
     for w in widths:
         at_width = F.least("n", F.lit(WIDTH)) == w
-        own = (
-            items.filter(at_width).withColumn("si", _shingles(F.col("h"), w)).withColumn("fi", _fingerprint(F.col("si")))
-            .select("item_id", "n", F.col("fi"), _counted(F.col("si")).alias("si"), F.explode(_blocks(F.col("fi"))).alias("x")).select("item_id", "n", "fi", "si", "x.*")
-        )
-        seen = (
-            held.filter(at_width).withColumn("sw", _shingles(F.col("h"), w)).withColumn("fw", _fingerprint(F.col("sw")))
-            .select("doc_id", "start", "n", "fw", "sw", F.explode(_blocks(F.col("fw"))).alias("x")).select("doc_id", "start", "n", "fw", "sw", "x.*")
-        )
+        # fingerprints are written out, or each of their blocks would compute them anew
+        own = items.filter(at_width).select("item_id", "n", _shingles(F.col("h"), w).alias("si"))
+        own = materialise(own.repartition("item_id").select("item_id", "n", _fingerprint(F.col("si")).alias("fi"), _counted(F.col("si")).alias("si")), "items")
+        own = own.select("*", F.explode(_blocks(F.col("fi"))).alias("x")).select("item_id", "n", "fi", "si", "x.*")
+        seen = held.filter(at_width).select("doc_id", "start", "n", _shingles(F.col("h"), w).alias("sw"))
+        seen = materialise(seen.select("*", _fingerprint(F.col("sw")).alias("fw")), "fingerprints")
+        seen = seen.select("*", F.explode(_blocks(F.col("fw"))).alias("x")).select("doc_id", "start", "n", "fw", "sw", "x.*")
         same = F.array_position(F.zip_with(_blocks(F.col("fw")), _blocks(F.col("fi")), lambda a, b: a == b), F.lit(True))
         pairs = (
             seen.join(broadcast_if_small(own), ["n", "block", "bits"])
