@@ -16,7 +16,6 @@ are scored each; columns named like the new ones are replaced.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +27,11 @@ from driftlog.llm import labelled
 from driftlog.llm.common import held_out, small_batches, table
 
 SAMPLE, CHARS, TERMS = 3000, 50_000, 6000
-FACTORS, EPOCHS, BATCH, RATE = 8, 12, 128, 0.1
+FACTORS, EPOCHS, STEPS, BATCH, RATE = 8, 12, 300, 128, 0.1
 BITS = 26
+#: The chi-square that a term must reach (one term in a hundred does by chance), and how many terms
+#: are kept whatever they reach, since some only matter in pairs.
+CHANCE, ANYWAY = 6.6, 100
 MARKS = ".,;:!?\"'()[]{}*#$%&|<>-_/\\"
 THRESHOLD = 0.5
 #: Words whose terms a worker remembers.
@@ -54,8 +56,16 @@ class FactorizationMachine:
         self.bias, self.at = bias, at or {}
         self.weight = np.zeros(0) if weight is None else weight
         self.factor = np.zeros((0, FACTORS)) if factor is None else factor
+        self.scale, self.offset = 1.0, 0.0
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def raw(self, i: np.ndarray) -> float:
+        """Weights and pairwise products of the terms at these places."""
+        if not len(i):
+            return self.bias
+        v = self.factor[i]
+        return self.bias + float(self.weight[i].sum() + 0.5 * ((v.sum(0) ** 2 - (v**2).sum(0)).sum()))
+
     def score(self, text: str | None) -> float:
         """Probability that the text is toxic."""
         known, own = self.known, set()
@@ -67,60 +77,97 @@ class FactorizationMachine:
                 at = known[w] = tuple(i for t in terms_of(w) if (i := self.at.get(t)) is not None)
             if at:
                 own.update(at)
-        z = self.bias
-        if own:
-            i = np.fromiter(sorted(own), np.int64, len(own))
-            v = self.factor[i]
-            z += self.weight[i].sum() + 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
+        z = self.scale * self.raw(np.fromiter(sorted(own), np.int64, len(own))) + self.offset
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[tuple[int, str]], negative: int, positive: int) -> FactorizationMachine:
-    """Adagrad on the sample; negative and positive are the classes' sizes in the whole."""
+def fit(rows: list[tuple[int, str]]) -> FactorizationMachine:
+    """Learns from (label, text) rows."""
     y = np.array([float(v) for v, _ in rows])
     if not rows or y.min() == y.max():
         return FactorizationMachine(30.0 if rows and y[0] == 1 else -30.0)
-    found = [terms(t) for _, t in rows]
-    have = (Counter(t for f, v in zip(found, y, strict=True) if v == 0 for t in f), Counter(t for f, v in zip(found, y, strict=True) if v == 1 for t in f))
-    n = (float((y == 0).sum()), float((y == 1).sum()))
-
-    def told(t: int) -> float:
-        """A chi-square for how far the term's share differs between the classes."""
-        a, b = have[0][t], have[1][t]
-        p = (a + b) / (n[0] + n[1])
-        return (b / n[1] - a / n[0]) ** 2 / max(p * (1 - p), 1e-9) if a + b >= 3 else 0.0
-
-    best = sorted(have[0].keys() | have[1].keys(), key=lambda t: (-told(t), t))[:TERMS]
-    at = {t: i for i, t in enumerate(best)}
-    x = np.zeros((len(rows), len(at)), np.float32)
+    # every fourth row of each class sets the scale of the scores, the others the parameters
+    nth = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
+    apart = (nth % 4 == 0) if min((y == 1).sum(), (y == 0).sum()) >= 8 else np.zeros(len(y), bool)
+    found = [np.array(sorted(terms(t)), np.int64) for _, t in rows]
+    best = _telling([f for f, c in zip(found, apart, strict=True) if not c], y[~apart])
+    x = np.zeros((len(rows), len(best)), np.uint8)
     for r, f in enumerate(found):
-        x[r, [at[t] for t in f if t in at]] = 1
+        x[r, np.flatnonzero(np.isin(best, f, assume_unique=True))] = 1
+    model = FactorizationMachine(0.0, {int(t): i for i, t in enumerate(best)}, *_descend(x[~apart], y[~apart]))
+    model.bias = float(model.bias)
+    over = apart if apart.any() else np.ones(len(y), bool)
+    z = np.array([model.raw(np.flatnonzero(row)) for row in x[over]])
+    # both classes weigh alike: a missed toxic text costs more than a false alarm
+    weight = np.where(y[over] == 1, 0.5 / y[over].mean(), 0.5 / (1 - y[over].mean()))
+    model.scale, model.offset = _curve(z, y[over], weight)
+    return model
+
+
+def _telling(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The TERMS terms whose shares differ most between the classes, by a chi-square, sorted."""
+    counts = []
+    for v in (0, 1):
+        own = [f for f, c in zip(found, y, strict=True) if c == v]
+        counts.append(np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.int64),) * 2)
+    every = np.union1d(counts[0][0], counts[1][0])
+    a, b = (np.zeros(len(every)) for _ in range(2))
+    a[np.searchsorted(every, counts[0][0])] = counts[0][1]
+    b[np.searchsorted(every, counts[1][0])] = counts[1][1]
+    p = (a + b) / len(y)
+    told = (b / max(1, (y == 1).sum()) - a / max(1, (y == 0).sum())) ** 2 / np.maximum(p * (1 - p), 1e-9)
+    told[a + b < 3] = 0
+    told *= (y == 1).sum() * (y == 0).sum() / len(y)
+    order = np.lexsort((every, -told))[:TERMS]
+    return np.sort(every[order[: max(ANYWAY, int((told[order] >= CHANCE).sum()))]])
+
+
+def _descend(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and factors by Adagrad; the bias is left to the curve."""
     rng = np.random.default_rng(7)
-    w, v, bias = np.zeros(len(at), np.float32), rng.normal(0, 0.02, (len(at), FACTORS)).astype(np.float32), 0.0
-    gw, gv, gb = np.full(len(at), 1e-2, np.float32), np.full(v.shape, 1e-2, np.float32), 1e-2
-    for _ in range(EPOCHS):
-        for own in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
-            a, m = x[own], len(own)
+    n = x.shape[1]
+    w, v, bias = np.zeros(n, np.float32), rng.normal(0, 0.02, (n, FACTORS)).astype(np.float32), 0.0
+    gw, gv, gb = np.full(n, 1e-2, np.float32), np.full(v.shape, 1e-2, np.float32), 1e-2
+    # both classes weigh alike
+    own_weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)).astype(np.float32)
+    # small samples go round more often
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(1, len(y))))):
+        for own in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
+            a = x[own].astype(np.float32)
             s = a @ v
             z = bias + a @ w + 0.5 * (s**2 - a @ v**2).sum(1)
-            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - y[own]).astype(np.float32) / m
-            dw = a.T @ g + 1e-5 * w
-            dv = a.T @ (g[:, None] * s) - v * (a.T @ g)[:, None] + 1e-5 * v
+            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - y[own]).astype(np.float32) * own_weight[own] / len(own)
+            down = a.T @ g
+            dw = down + 1e-5 * w
+            dv = a.T @ (g[:, None] * s) - v * down[:, None] + 1e-5 * v
             gw += dw**2
             gv += dv**2
             gb += float(g.sum()) ** 2
             w -= RATE * dw / np.sqrt(gw)
             v -= RATE * 0.3 * dv / np.sqrt(gv)
             bias -= RATE * float(g.sum()) / gb**0.5
-    # the sample holds the classes in other shares than the corpus
-    bias += np.log((positive + 1) / (negative + 1)) - np.log((n[1] + 1) / (n[0] + 1))
-    return FactorizationMachine(float(bias), at, w.astype(float), v.astype(float))
+    return w.astype(float), v.astype(float)
+
+
+def _curve(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Scale and offset of the logistic curve over raw values, with a little shrinkage."""
+    spread = float(z.std()) or 1.0
+    f, w = np.stack([z / spread, np.ones_like(z)], 1), np.zeros(2)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
+        slope = f.T @ (weight * (p - y)) + np.array([5e-2, 1e-3]) * w
+        bend = (f * (weight * p * (1 - p) + 1e-9)[:, None]).T @ f + np.diag([5e-2, 1e-3])
+        step = np.linalg.solve(bend, slope)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(w[0] / spread), float(w[1])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted (1 from the threshold on)."""
     small_batches(docs.sparkSession)
-    model = fit(labelled.sample_texts(docs, labels, "toxic", SAMPLE, CHARS), *labelled.counts(labels, "toxic"))
+    model = fit(labelled.sample_texts(docs, labels, "toxic", SAMPLE, CHARS))
     new = {"score": "double", "predicted": "integer"}
     keep = [c for c in docs.columns if c.lower() not in new]
     schema = docs.select(*keep).schema
