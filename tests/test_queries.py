@@ -1,6 +1,7 @@
 """Every query with an oracle agrees with DuckDB at sf0.001."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from driftlog.plans import registry
@@ -20,7 +21,7 @@ def duck(sf):
 
 def plain(frame):
     def text(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
