@@ -23,7 +23,6 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import materialise, small_batches, table
+from driftlog.llm.common import kept, materialise, small_batches, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -120,10 +119,9 @@ class WordIds:
         ]
 
 
-@cache
 def word_ids(path: str) -> WordIds:
     """One for each Python worker, so that tasks share what it remembers."""
-    return WordIds(path)
+    return kept(f"word ids {path}", lambda: WordIds(path))
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:

@@ -6,12 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlog.functions.workers import reachable
 
+T = TypeVar("T")
+
 #: White space that separates words, as the contracts state it.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -65,6 +69,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """In a Python worker: what an operator remembers between tasks, made once. A worker serves many
+    operators in turn; it keeps what the present one remembers and drops the rest."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose label no model may learn from: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -25,7 +25,6 @@ kept. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import materialise, small_batches, table
+from driftlog.llm.common import kept, materialise, small_batches, table
 from driftlog.llm.components import components
 
 WIDTH, PERCENT = 5, 75
@@ -44,7 +43,7 @@ K, ESTIMATE = 256, 0.61
 FEW, FEW_SHARED = 24, 7
 #: Rounds of hubs before members are compared pairwise.
 ROUNDS = 2
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 
 class WordHashes(dict):
@@ -55,10 +54,9 @@ class WordHashes(dict):
         return h
 
 
-@cache
 def word_hashes() -> WordHashes:
     """One for each Python worker."""
-    return WordHashes()
+    return kept("word hashes", WordHashes)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
