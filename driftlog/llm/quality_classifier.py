@@ -15,7 +15,7 @@ named like the new ones are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b"".join(parts)[-DICTIONARY:]
 
 
-@cache
+@lru_cache(maxsize=4)
 def compressor(data: bytes) -> zstandard.ZstdCompressor:
     d = zstandard.ZstdCompressionDict(data)
     d.precompute_compress(level=LEVEL)
