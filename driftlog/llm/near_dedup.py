@@ -7,7 +7,8 @@ three million at exactly T); classes that do not share as many with anyone are d
 there is an inverted list for each retained value. Similar sets share at least need(n) of them (exact
 for sets up to K, five standard deviations otherwise), so if each class is listed only under its
 size - need + 1 rarest values, such a pair still meets in some list, while a passage that many documents
-share lists hardly any of them. A class's values that nobody shares bound what any partner can share.
+share lists hardly any of them. A class's values that nobody shares bound what any partner can share,
+but for as many as the partner's sketch cuts off.
 
 Lists are compared against hubs first, the members that share most of their values; only members that
 end up in different components are then compared pairwise, those outside a list's largest
@@ -131,8 +132,8 @@ def first_look(few: DataFrame) -> DataFrame:
 def listed(classes: DataFrame) -> DataFrame:
     """(value, node, n, most, alone, rest): each class under its rarest retained values.
 
-    alone: retained values that nobody shares; most: shingles that it can share with anyone; rest:
-    retained values that are neither alone nor listed.
+    alone: retained values that nobody shares; most: shingles that it can share with anyone whose
+    sketch is the full set; rest: retained values that are neither alone nor listed.
     """
     postings = classes.select("node", F.explode("sketch").alias("value"))
     own = (
@@ -156,9 +157,13 @@ def listed(classes: DataFrame) -> DataFrame:
 
 
 def possible(x: str, y: str) -> Column:
-    """Whether two classes can reach the threshold by their sizes and what each can share."""
+    """Whether two classes can reach the threshold by their sizes and what each can share.
+
+    A value that no sketch shares may stand among those that the partner's sketch cuts off.
+    """
     return F.expr(
-        f"100 * least(n{x}, n{y}) >= {PERCENT} * greatest(n{x}, n{y}) and {100 + PERCENT} * least(most{x}, most{y}) >= {PERCENT} * (n{x} + n{y})"
+        f"100 * least(n{x}, n{y}) >= {PERCENT} * greatest(n{x}, n{y}) and {100 + PERCENT} * "
+        f"least(n{x}, n{y}, most{x} + greatest(0, n{y} - {K}), most{y} + greatest(0, n{x} - {K})) >= {PERCENT} * (n{x} + n{y})"
     )
 
 

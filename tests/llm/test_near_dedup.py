@@ -75,6 +75,21 @@ def test_sketch_bounds_are_lossless_at_the_threshold(spark):
     assert [got[i].component_id for i in range(len(texts))] == want and len(set(want)) == 12
 
 
+def test_pairs_on_both_sides_of_the_sketch_size(spark):
+    """One set is its own sketch, its partner's sketch is cut: each pair stands by itself."""
+    texts = []
+    for k, (n, more) in enumerate([(230, 60), (256, 34), (200, 62), (250, 80), (193, 64), (256, 85), (240, 17), (190, 62), (256, 90)]):
+        t = prose(3000 + k, n + 4)
+        texts += [t, f"{t} {prose(3100 + k, more)}"]
+    for k, (before, both, after) in enumerate([(5, 235, 45), (10, 240, 60), (16, 240, 35), (20, 236, 60), (0, 256, 89), (30, 220, 40)]):
+        t = prose(3200 + k, both + 4)
+        texts += [f"{prose(3300 + k, before)} {t}".strip(), f"{t} {prose(3400 + k, after)}"]
+    want, sizes = brute(texts)
+    got = run(docs(spark, texts))
+    assert min(sizes) >= 190 and any(a <= 256 < b for a, b in zip(sizes[::2], sizes[1::2], strict=True))
+    assert [got[i].component_id for i in range(len(texts))] == want and sum(w != i for i, w in enumerate(want)) >= 10
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     r = random.Random(seed)
