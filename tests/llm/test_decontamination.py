@@ -57,6 +57,22 @@ def test_windows_equal_brute_force(spark, items):
     assert got == pytest.approx(want) and len(want) > 15
 
 
+def test_parts_in_another_order(spark):
+    """Windows at every position: halves or sentences of an item swapped, amid prose or alone."""
+    items, texts = [prose(300 + n, n) for n in (40, 50, 60, 100)], []
+    for k, item in enumerate(items):
+        w = item.split()
+        half, cut = len(w) // 2, len(w) // 3
+        swapped = w[half:] + w[:half]
+        texts += [" ".join(swapped), f"{prose(400 + k, 90)} {' '.join(swapped)} {prose(500 + k, 70)}"]
+        texts.append(f"{prose(600 + k, 35)} {' '.join(w[2 * cut:] + w[cut:2 * cut] + w[:cut])} {prose(700 + k, 150)}")
+        texts.append(" ".join(swapped[: -(k + 1)]))
+    b = spark.createDataFrame(list(enumerate(items)), ITEM)
+    got = {(r.doc_id, r.item_id): r.similarity for r in dc.contaminated(docs(spark, texts), b).collect()}
+    want = {(i, j): x for i, t in enumerate(texts) for j, item in enumerate(items) if (x := brute(t, item)) >= 0.75}
+    assert got == pytest.approx(want) and len(want) >= 10
+
+
 def test_defined_cases(spark):
     long, short = prose(7, 30), "tiny item"
     b = spark.createDataFrame([(0, long), (1, short), (2, None), (3, ""), (4, long)], ITEM)
