@@ -2,21 +2,23 @@
 
 Words are runs of letters and digits in lower case; shingles are of five words (or a whole item,
 if it has fewer). A window is as long as some item and may stand anywhere in the text, so that parts of
-an item in another order count, too. Formed are those that hold as many shingles of items of their
-length as the threshold requires at least; no other window can reach it. Windows and items get 64-bit SimHash fingerprints. Fingerprints are cut into RADIUS + 1 blocks; two that differ in at
-most RADIUS bits agree in some block, so joining on (length, block, bits) finds all of them. Those
-within the radius are then compared exactly: the sum of smaller over the sum of larger weights of
-all shingles, a shingle's weight being how often it stands there. At the threshold two sets differ
-in 11 bits on average with a standard deviation of 3, so the radius lies four deviations out.
+an item in another order count, too, and so do items with words inserted or changed. Formed are those
+that hold as many shingles of items of their length as the threshold requires at least; no other window
+can reach it. Windows and items get 64-bit SimHash fingerprints. Fingerprints are cut into RADIUS + 1
+blocks; two that differ in at most RADIUS bits agree in some block, so joining on (length, block, bits)
+finds all of them. Those within the radius are then compared exactly: the sum of smaller over the sum of
+larger weights of all shingles, a shingle's weight being how often it stands there. At the threshold two
+sets differ in 11 bits on average with a standard deviation of 3, so the radius lies four deviations out.
 
 All of it is DataFrame functions. The corpus is only exploded to (hash, place) rows, which meet the
-items' shingles; texts are read again only for documents with a window. Item tables are broadcast
-up to BROADCAST_ROWS rows (counted first), windows likewise; beyond that the joins shuffle.
+items' shingles; what a text's row carries of them is runs of window starts, at most one for each shared
+shingle and length. Texts are read again only where there is a window. Items and windows are broadcast
+only after their rows and bytes have been counted; beyond the bounds the joins shuffle.
 
 Defined cases: null and empty texts and items match nothing; a text shorter than an item is one
-window; repeated rows and ids are reported once; a null doc_id is reported as null; no items or no
-documents give no rows; other columns are ignored. Of windows that are equally similar, those on
-which a shingle lies as in an item come first, then the first in the text.
+window; rows that share an id (or have none) are windowed each by itself, and an item found in several
+of them is reported once; a null doc_id is reported as null; no items or no documents give no rows; other
+columns are ignored. Of windows that are equally similar the first in the text is reported.
 """
 
 from __future__ import annotations
@@ -71,62 +73,61 @@ def _blocks(fp: Column) -> Column:
 
 def _counted(s: Column) -> Column:
     """Each hash with the number of its occurrence: a set that stands for the multiset."""
-    return F.transform(s, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(s, 1, i + 1), lambda y: y == x))))
+    placed = F.sort_array(s)
+    told = F.transform(placed, lambda x, i: F.xxhash64(x, i - F.array_position(placed, x).cast("int") + 2))
+    return F.when(F.size(F.array_distinct(s)) == F.size(s), F.transform(s, lambda x: F.xxhash64(x, F.lit(1)))).otherwise(told)
 
 
-def _starts(w: int) -> Column:
-    """Starts of the windows of n words with shingles enough, each once, from the places of items' shingles.
+def _runs(w: int) -> Column:
+    """Runs (lo, hi) of the starts of windows of n words with shingles enough, disjoint and in order, from
+    the sorted places p of items' shingles.
 
-    A window holds `need` of the sorted places p if, p[i] being its first, it reaches p[i + need - 1].
+    A window holds `need` of the places if, p[i] being its first, it reaches p[i + need - 1].
     """
     held = f"(least(size, n) - {w - 1})"
     need = f"cast(({PERCENT} * (n - {w - 1} + {held}) + {100 + PERCENT - 1}) div {100 + PERCENT} as int)"
     lo = f"greatest(0, p[i + {need} - 1] - {held} + 1, if(i = 0, 0, get(p, i - 1) + 1))"
     span = f"transform(sequence(0, size(p) - {need}), i -> struct({lo} as lo, least(p[i], greatest(0, size - n)) as hi))"
-    runs = f"transform(filter({span}, x -> x.lo <= x.hi), x -> sequence(x.lo, x.hi))"
-    return F.expr(f"if(size(p) >= {need}, flatten({runs}), cast(array() as array<int>))")
+    return F.expr(f"if(size(p) >= {need}, filter({span}, x -> x.lo <= x.hi), cast(array() as array<struct<lo:int,hi:int>>))")
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start_word: the best window for each item that a text holds."""
     items = _hashed(items.select("item_id", "text"), "text").withColumn("n", F.size("h")).filter("n > 0").distinct()
     widths = sorted(r.w for r in items.select(F.least("n", F.lit(WIDTH)).alias("w")).distinct().collect())
-    texts = docs.select("doc_id", "text")
+    # a row is told from others of its id by its text
+    texts = docs.select("doc_id", F.xxhash64("text").alias("own"), "text")
     schema = texts.schema["doc_id"].dataType.simpleString()
     if not widths:
-        return docs.sparkSession.createDataFrame([], f"doc_id {schema}, item_id long, similarity double, start_word long")
+        kind = items.schema["item_id"].dataType.simpleString()
+        return docs.sparkSession.createDataFrame([], f"doc_id {schema}, item_id {kind}, similarity double, start_word long")
     anchors, found = None, None
     hashed = _hashed(texts, "text").withColumn("size", F.size("h"))
     for w in widths:
         own = items.filter(F.least("n", F.lit(WIDTH)) == w)
-        places = broadcast_if_small(
-            own.select("n", F.posexplode(_shingles(F.col("h"), w)).alias("at", "s")).distinct()
-        )
+        places = broadcast_if_small(own.select("n", F.explode(_shingles(F.col("h"), w)).alias("s")).distinct())
         here = (
-            hashed.select("doc_id", "size", F.posexplode(_shingles(F.col("h"), w)).alias("place", "s")).join(places, "s")
-            # within the text where it is long enough
-            .withColumn("start", F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.col("size") - F.col("n"))))
-            .groupBy("doc_id", "size", "n").agg(F.sort_array(F.collect_set("place")).alias("p"), F.collect_set("start").alias("lying"))
-            .withColumn("starts", _starts(w)).filter("size(starts) > 0")
-            .select("doc_id", "size", "n", F.array_intersect("starts", "lying").alias("lying"), F.array_except("starts", "lying").alias("others"))
+            hashed.select("doc_id", "own", "size", F.posexplode(_shingles(F.col("h"), w)).alias("place", "s")).join(places, "s")
+            .groupBy("doc_id", "own", "size", "n").agg(F.sort_array(F.collect_set("place")).alias("p"))
+            .withColumn("runs", _runs(w)).filter("size(runs) > 0").select("doc_id", "own", "n", "runs")
         )
         anchors = here if anchors is None else anchors.unionByName(here)
-    windows = materialise(anchors.groupBy("doc_id", "size").agg(F.collect_list(F.struct("n", "lying", "others")).alias("own")), "windows")
-    windows = windows.withColumn("own", F.expr(
-        "flatten(transform(own, x -> concat(transform(x.lying, y -> struct(y as start, x.n as n, true as lies)), transform(x.others, y -> struct(y as start, x.n as n, false as lies)))))"
-    ))
-    held = texts.alias("t").join(broadcast_if_small(windows).alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")))
-    held = _hashed(held.select(F.col("t.doc_id").alias("doc_id"), "text", "size", "own"), "text").filter(F.size("h") == F.col("size"))
-    held = held.select("doc_id", F.explode(F.transform("own", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), x["lies"].alias("lies"), F.slice("h", x["start"] + 1, x["n"]).alias("h")))).alias("x")).select("doc_id", "x.*")
+    runs = F.flatten(F.collect_list(F.expr("transform(runs, x -> struct(n, x.lo as lo, x.hi as hi))")))
+    windows = materialise(anchors.groupBy("doc_id", "own").agg(runs.alias("runs")), "windows")
+    windows = broadcast_if_small(windows).alias("w")
+    held = texts.alias("t").join(windows, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.own") == F.col("w.own")))
+    held = _hashed(held.select(F.col("t.doc_id").alias("doc_id"), "text", "runs"), "text")
+    held = held.select("doc_id", "h", F.explode("runs").alias("x")).select("doc_id", "h", "x.n", F.explode(F.sequence("x.lo", "x.hi")).alias("start"))
+    held = held.select("doc_id", "start", "n", F.slice("h", F.col("start") + 1, F.col("n")).alias("h"))
     for w in widths:
         at_width = F.least("n", F.lit(WIDTH)) == w
         # fingerprints are written out, or each of their blocks would compute them anew
         own = items.filter(at_width).select("item_id", "n", _shingles(F.col("h"), w).alias("si"))
         own = materialise(own.repartition("item_id").select("item_id", "n", _fingerprint(F.col("si")).alias("fi"), _counted(F.col("si")).alias("si")), "items")
         own = own.select("*", F.explode(_blocks(F.col("fi"))).alias("x")).select("item_id", "n", "fi", "si", "x.*")
-        seen = held.filter(at_width).select("doc_id", "start", "lies", "n", _shingles(F.col("h"), w).alias("sw"))
-        seen = materialise(seen.select("doc_id", "start", "lies", "n", _fingerprint(F.col("sw")).alias("fw"), _counted(F.col("sw")).alias("sw")), "fingerprints")
-        seen = seen.select("*", F.explode(_blocks(F.col("fw"))).alias("x")).select("doc_id", "start", "lies", "n", "fw", "sw", "x.*")
+        seen = held.filter(at_width).select("doc_id", "start", "n", _shingles(F.col("h"), w).alias("sw"))
+        seen = materialise(seen.select("doc_id", "start", "n", _fingerprint(F.col("sw")).alias("fw"), _counted(F.col("sw")).alias("sw")), "fingerprints")
+        seen = seen.select("*", F.explode(_blocks(F.col("fw"))).alias("x")).select("doc_id", "start", "n", "fw", "sw", "x.*")
         same = F.array_position(F.zip_with(_blocks(F.col("fw")), _blocks(F.col("fi")), lambda a, b: a == b), F.lit(True))
         pairs = (
             seen.join(broadcast_if_small(own), ["n", "block", "bits"])
@@ -135,10 +136,10 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             .withColumn("both", F.size(F.array_intersect("sw", "si")))
             .withColumn("all", F.size("sw") + F.size("si") - F.col("both"))
             .filter(100 * F.col("both") >= PERCENT * F.col("all"))
-            .select("doc_id", "item_id", (F.col("both") / F.col("all")).alias("similarity"), "lies", F.col("start").cast("long").alias("start_word"))
+            .select("doc_id", "item_id", (F.col("both") / F.col("all")).alias("similarity"), F.col("start").cast("long").alias("start_word"))
         )
         found = pairs if found is None else found.unionByName(pairs)
-    best = F.struct("similarity", "lies", (-F.col("start_word")).alias("back"))
+    best = F.struct("similarity", (-F.col("start_word")).alias("back"))
     return (
         found.groupBy("doc_id", "item_id").agg(F.max(best).alias("x"))
         .select("doc_id", "item_id", F.col("x.similarity").alias("similarity"), (-F.col("x.back")).alias("start_word"))

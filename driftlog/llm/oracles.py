@@ -23,21 +23,22 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
 FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) JOIN sizes USING (doc_id)
 """
 
-#: All windows that lie on an item's shingle, against all items of the window's length.
+#: Every window that holds any shingle of an item, wherever it stands, against that item.
 DECONTAMINATION = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-ds AS (SELECT doc_id, n, p, array_to_string(w[p:p+4], ' ') AS g FROM (SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) - 3)) AS p FROM d)),
-it AS (SELECT item_id, n, p, array_to_string(w[p:p+4], ' ') AS g FROM (SELECT item_id, w, len(w) AS n, unnest(range(1, len(w) - 3)) AS p FROM i)),
-win AS (SELECT DISTINCT ds.doc_id, it.n AS l, greatest(1, least(ds.p - it.p + 1, ds.n - it.n + 1)) AS st FROM ds JOIN it ON ds.g = it.g),
-wg AS (SELECT win.doc_id, l, st, g, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.p BETWEEN st AND st + l - 5 GROUP BY ALL),
-ig AS (SELECT item_id, n AS l, g, count(*) AS c FROM it GROUP BY ALL),
-wn AS (SELECT doc_id, l, st, sum(c) AS k FROM wg GROUP BY ALL),
-m AS (SELECT wg.doc_id, wg.l, wg.st, ig.item_id, sum(least(wg.c, ig.c)) AS shared FROM wg JOIN ig ON wg.l = ig.l AND wg.g = ig.g GROUP BY ALL),
-s AS (SELECT m.doc_id, m.item_id, m.st, CAST(shared AS DOUBLE) / CAST(k + (m.l - 4) - shared AS DOUBLE) AS sim, shared, k + (m.l - 4) - shared AS whole
-  FROM m JOIN wn ON wn.doc_id = m.doc_id AND wn.l = m.l AND wn.st = m.st)
+widths AS (SELECT DISTINCT least(len(w), 5) AS k FROM i WHERE len(w) > 0),
+ds AS (SELECT r, n, k, p, array_to_string(w[p:p+k-1], ' ') AS g FROM (SELECT r, w, k, len(w) AS n, unnest(range(1, len(w) - k + 2)) AS p FROM d, widths)),
+it AS (SELECT item_id, n, k, array_to_string(w[p:p+k-1], ' ') AS g FROM (SELECT item_id, w, k, len(w) AS n, unnest(range(1, len(w) - k + 2)) AS p FROM i JOIN widths ON k = least(len(w), 5))),
+ig AS (SELECT item_id, n AS l, k, g, count(*) AS c FROM it GROUP BY ALL),
+hit AS (SELECT ds.r, ds.n, ds.p, ig.item_id, ig.l, ig.k, ds.g, ig.c FROM ds JOIN ig ON ds.g = ig.g AND ds.k = ig.k),
+win AS (SELECT DISTINCT r, n, item_id, l, k, unnest(range(greatest(1, p - l + k), least(p, greatest(1, n - l + 1)) + 1)) AS st FROM hit),
+m AS (SELECT win.r, win.n, win.item_id, win.l, win.k, win.st, hit.g, least(count(*), any_value(hit.c)) AS c
+  FROM win JOIN hit ON hit.r = win.r AND hit.item_id = win.item_id AND hit.p BETWEEN win.st AND win.st + win.l - win.k GROUP BY ALL),
+s AS (SELECT r, item_id, st, sum(c) AS shared, any_value(least(n, l) - k + 1 + l - k + 1) - sum(c) AS whole FROM m GROUP BY r, item_id, st),
+t AS (SELECT d.doc_id, item_id, st, CAST(shared AS DOUBLE) / CAST(whole AS DOUBLE) AS sim FROM s JOIN d USING (r) WHERE 100 * shared >= 75 * whole)
 SELECT doc_id, item_id, max(sim) AS similarity, CAST(arg_min(st, struct_pack(a := -sim, b := st)) - 1 AS BIGINT) AS start_word
-FROM s WHERE 100 * shared >= 75 * whole GROUP BY doc_id, item_id
+FROM t GROUP BY doc_id, item_id
 """
 
 SQL = {"op8_near_dedup": NEAR_DEDUP, "op1_decontamination": DECONTAMINATION}

@@ -73,6 +73,56 @@ def test_parts_in_another_order(spark):
     assert got == pytest.approx(want) and len(want) >= 10
 
 
+def edited(words, r, seed):
+    """Words changed at both ends, inserted, dropped and moved about, around the threshold."""
+    w = list(words)
+    for i in range(r.randrange(0, max(1, len(w) // 12))):
+        w[i] = f"s{seed}x{i}"
+    for i in range(r.randrange(0, max(1, len(w) // 12))):
+        w[-1 - i] = f"e{seed}x{i}"
+    at = r.randrange(len(w))
+    w[at:at] = [f"m{seed}x{i}" for i in range(r.randrange(0, max(1, len(w) // 6)))]
+    if r.random() < 0.3:
+        at = r.randrange(len(w))
+        del w[at : at + r.randrange(1, max(2, len(w) // 10))]
+    return w
+
+
+def test_insertions_deletions_and_changed_ends(spark):
+    """500 random edits: every pair that brute force finds over all windows, with its similarity."""
+    r = random.Random(9)
+    items = [prose(800 + i, n) for i, n in enumerate((12, 20, 33, 50, 80, 120))]
+    texts = []
+    for k in range(500):
+        own = edited(items[k % 6].split(), r, k)
+        texts.append(" ".join([*prose(900 + k, r.randrange(0, 12)).split(), *own, *prose(1500 + k, r.randrange(0, 12)).split()]))
+    b = spark.createDataFrame(list(enumerate(items)), ITEM)
+    got = {(x.doc_id, x.item_id): x.similarity for x in dc.contaminated(docs(spark, texts), b).collect()}
+    want = {(i, j): x for i, t in enumerate(texts) for j, item in enumerate(items) if (x := brute(t, item)) >= 0.75}
+    assert got == pytest.approx(want) and 150 < len(want) < 480
+
+
+def test_ends_changed_and_words_inserted_in_a_long_item(spark):
+    w = prose(1, 400).split()
+    texts = []
+    for a, m, e in ((20, 40, 20), (15, 30, 15), (30, 60, 30)):
+        texts.append(" ".join([*(f"s{i}" for i in range(a)), *w[a:200], *(f"m{i}" for i in range(m)), *w[200 : 400 - e], *(f"e{i}" for i in range(e))]))
+    got = {x.doc_id: x.similarity for x in dc.contaminated(docs(spark, texts), spark.createDataFrame([(0, " ".join(w))], ITEM)).collect()}
+    want = {i: x for i, t in enumerate(texts) if (x := brute(t, " ".join(w))) >= 0.75}
+    assert got == pytest.approx(want) and len(want) == 2
+
+
+def test_rows_of_one_id_do_not_mix(spark):
+    """Texts that share an id or have none are windowed each by itself, very long ones too."""
+    a, b = prose(5, 60), prose(6, 40)
+    far = prose(7, 30_000) + " " + a
+    for doc_id in (None, 3):
+        rows = [(doc_id, t, "en", "s", 0) for t in (far, f"{prose(8, 10)} {b}", prose(9, 80), b)]
+        d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        got = {(r.doc_id, r.item_id, r.similarity, r.start_word) for r in dc.contaminated(d, spark.createDataFrame([(0, a), (1, b)], ITEM)).collect()}
+        assert got == {(doc_id, 0, 1.0, 30_000), (doc_id, 1, 1.0, 0)}
+
+
 def test_defined_cases(spark):
     long, short = prose(7, 30), "tiny item"
     b = spark.createDataFrame([(0, long), (1, short), (2, None), (3, ""), (4, long)], ITEM)
