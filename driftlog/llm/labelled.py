@@ -32,16 +32,14 @@ def sample_ids(labels: DataFrame, label: str, most: int) -> DataFrame:
     )
 
 
-def sample_texts(
-    docs: DataFrame, labels: DataFrame, label: str, most: int, chars: int
-) -> list[tuple[int, str]]:
-    """(label, text) of the sample, texts cut at `chars` for learning only, in order of the ids.
-
-    The ids are at most 2 * most, so they are broadcast.
-    """
+def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """doc_id, text and label of the sample's rows, whole texts. The ids are at most 2 * most, so they
+    are broadcast."""
     ids = F.broadcast(sample_ids(labels, label, most))
-    rows = (
-        docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text"))
-        .join(ids, "doc_id").collect()
-    )
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
+
+
+def sample_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tuple[int, str]]:
+    """(label, text) of the sample in order of the ids."""
+    rows = sampled(docs, labels, label, most).collect()
     return [(r.label, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]

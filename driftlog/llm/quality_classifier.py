@@ -5,7 +5,7 @@ so that the dictionaries weigh as much at the end of a long text as at its start
 counts. The difference of the two sizes over the text's bytes is turned into a score by a logistic
 curve fitted on labelled rows that the dictionaries have not seen.
 
-Learning is bounded: SAMPLE rows of each class, CHARS characters of each. Scores cover all texts.
+Learning is bounded by rows, SAMPLE of each class, whose whole texts count. Scores cover all texts.
 
 Defined cases: null and empty texts have difference 0 and score as the shortest text; with one class
 missing from the labels the score is that class's share; repeated rows are scored each; columns
@@ -14,8 +14,8 @@ named like the new ones are replaced.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlog.llm import labelled
-from driftlog.llm.common import held_out, small_batches, table
+from driftlog.llm.common import held_out, kept, small_batches, table
 
-SAMPLE, CHARS = 1500, 50_000
+SAMPLE = 1500
 BLOCK, LEVEL, DICTIONARY = 2048, 3, 96 << 10
 #: Bytes up to which a text counts as short.
 SHORT = 128
@@ -46,19 +46,26 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b"".join(parts)[-DICTIONARY:]
 
 
-@lru_cache(maxsize=4)
 def compressor(data: bytes) -> zstandard.ZstdCompressor:
     d = zstandard.ZstdCompressionDict(data)
     d.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def difference(text: str, good: bytes, bad: bytes) -> float:
+Pair = tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]
+
+
+def compressors(good: bytes, bad: bytes) -> Pair:
+    """One pair for each Python worker and model."""
+    return kept(f"compressors {zlib.crc32(good)} {zlib.crc32(bad)}", lambda: (compressor(good), compressor(bad)))
+
+
+def difference(text: str, pair: Pair) -> float:
     """Bytes that the good dictionary saves over the bad one, for each byte of the text."""
     data = (text or "").encode()
     if not data:
         return 0.0
-    g, b = compressor(good), compressor(bad)
+    g, b = pair
     return sum(len(b.compress(x)) - len(g.compress(x)) for x in blocks(data)) / len(data)
 
 
@@ -85,7 +92,7 @@ def fit_curve(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[bytes, bytes, np.ndarray]:
     """The two dictionaries and the curve."""
     bad_n, good_n = labelled.counts(labels, label)
-    rows = labelled.sample_texts(docs, labels, label, SAMPLE, CHARS)
+    rows = labelled.sample_texts(docs, labels, label, SAMPLE)
     if not bad_n or not good_n or len({y for y, _ in rows}) < 2:
         share = 0.5 if bad_n == good_n else float(good_n > 0)
         return b"", b"", np.array([0.0, 0.0, np.log((share + 1e-3) / (1 - share + 1e-3))])
@@ -96,7 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[b
     if len({y for y, _ in fresh}) < 2:
         fresh = rows
     good, bad = dictionary(seen[1] or seen[0]), dictionary(seen[0] or seen[1])
-    x = np.array([difference(t, good, bad) for _, t in fresh])
+    pair = compressor(good), compressor(bad)
+    x = np.array([difference(t, pair) for _, t in fresh])
     y = np.array([float(q) for q, _ in fresh])
     share = good_n / (good_n + bad_n)  # the sample holds the classes in other shares than the corpus
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
@@ -115,9 +123,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
         schema = schema.add(k, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = compressors(good, bad) if good else None
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            x = np.array([difference(t, good, bad) if good else 0.0 for t in texts])
+            x = np.array([difference(t, pair) if pair else 0.0 for t in texts])
             size = np.array([len(t.encode()) for t in texts])
             p = 1 / (1 + np.exp(-np.clip(features(size, x) @ curve, -30, 30)))
             yield pa.RecordBatch.from_arrays(

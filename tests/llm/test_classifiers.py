@@ -79,6 +79,76 @@ def test_pairs_of_terms_count():
     assert says == [False, False, True, False] * 10
 
 
+def test_pairs_whose_terms_tell_nothing_alone():
+    """Toxic if both words stand there or neither: each by itself is as common in both classes."""
+    rows = []
+    for k in range(1600):
+        a, b = k % 2, (k // 2) % 2
+        rows.append((int(a == b), f"{'gleek ' * a}{prose(k, 30)}{' norvian' * b}"))
+    m = toxicity.fit(rows)
+    says = [m.score(f"{prose(k + 5000, 30)} {x}") >= 0.5 for k, x in enumerate(["gleek", "norvian", "gleek norvian", ""] * 50)]
+    assert np.mean([x == y for x, y in zip(says, [False, False, True, True] * 50, strict=True)]) > 0.95
+
+
+def test_learning_sees_whole_texts(spark):
+    """What marks a class stands behind 60,000 characters."""
+    long = "word " * 12_000
+    texts = [f"{long}{prose(k, 8)} {'smorf' if k % 2 else ''}" for k in range(40)] + ["plain smorf", "plain"]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], SHAPE)
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs(spark, texts), labels).collect()}
+    assert got[40] == 1 and got[41] == 0
+
+
+def test_toxicity_repeated_rows_and_ties(spark):
+    texts, y = toxic_corpus()
+    d = docs(spark, texts)
+    labels = spark.createDataFrame([(i, 1, v) for i, v in enumerate(y)], SHAPE)
+    got = toxicity.score_toxicity(d.unionByName(d), labels).collect()
+    assert len(got) == 2 * len(texts) and len({(r.doc_id, r.score) for r in got}) == len(texts)
+
+
+def brute_difference(text, good, bad):
+    """Sizes by compressors made anew for every block."""
+    import zstandard
+
+    def size(data, dictionary):
+        d = zstandard.ZstdCompressionDict(dictionary)
+        d.precompute_compress(level=quality_classifier.LEVEL)
+        return len(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+
+    data = text.encode()
+    parts = [data[i : i + 2048] for i in range(0, len(data), 2048)]
+    return sum(size(x, bad) - size(x, good) for x in parts) / len(data) if data else 0.0
+
+
+def test_quality_scores_equal_brute_force(spark):
+    texts, y = corpus()
+    texts = [*texts, "", "x", texts[0] * 200, texts[0]]
+    labels = spark.createDataFrame([(i, v, 0) for i, v in enumerate(y)], SHAPE)
+    d = docs(spark, texts)
+    good, bad, curve = quality_classifier.train(d, labels)
+    got = {r.doc_id: r for r in quality_classifier.score_quality(d, labels).collect()}
+    for i in [0, 5, 250, *range(len(y), len(texts))]:
+        x, n = brute_difference(texts[i], good, bad), len(texts[i].encode())
+        z = curve[0] * x + curve[1] * 128 / (128 + n) + curve[2]
+        assert abs(got[i].size_difference - x) < 1e-12 and abs(got[i].score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+    assert got[0].score == got[len(texts) - 1].score
+
+
+def brute_machine(m, text):
+    """The machine's value by a loop over all pairs of terms."""
+    own = sorted(m.at[t] for t in toxicity.terms(text) if t in m.at)
+    z = m.bias + sum(m.weight[i] for i in own) + sum(float(m.factor[i] @ m.factor[j]) for a, i in enumerate(own) for j in own[a + 1 :])
+    return 1 / (1 + np.exp(-np.clip(m.scale * z + m.offset, -30, 30)))
+
+
+def test_toxicity_scores_equal_brute_force():
+    texts, y = toxic_corpus()
+    m = toxicity.fit(list(zip(y, texts, strict=True)))
+    for t in [*texts[:20], "", "gleek smorf, gleek", texts[0] * 30]:
+        assert abs(m.score(t) - brute_machine(m, t)) < 1e-9
+
+
 def test_toxicity_defined_cases(spark):
     none = spark.createDataFrame([], SHAPE)
     rows = toxicity.score_toxicity(docs(spark, [None, "", "..."]).selectExpr("*", "1 AS predicted"), none).collect()
