@@ -35,6 +35,7 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 #: Runs that may be a secret of no fixed form.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
+#: Characters of a window before, after and of the candidate; longer candidates have several windows.
 LEFT, RIGHT, INSIDE = 24, 8, 48
 WIDTH = LEFT + INSIDE + RIGHT
 RECALL = 0.98
@@ -56,29 +57,48 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def other_candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """Key-like runs with letters and digits, or of both cases and long, outside the fixed forms."""
-    out = []
+    out, at, reach = [], 0, 0
     for m in RUN.finditer(text):
         x = m[0]
+        # both come in order: what begins before the run's end and reaches into it
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach > m.start():
+            continue
         mixed = any(map(str.isdigit, x)) and any(map(str.isalpha, x))
         cased = len(x) >= 24 and sum(a.islower() and b.isupper() for a, b in zip(x, x[1:], strict=False)) >= 4
-        if (mixed or cased) and not any(s < m.end() and m.start() < e for s, e, _ in base):
+        if mixed or cased:
             out.append((m.start(), m.end()))
     return out
 
 
 def encoded(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of the window's characters; those of the candidate carry an offset of CODES. Of a
-    long candidate its first and last characters are seen."""
-    own = text[start:end]
-    if len(own) > INSIDE:
-        own = own[: INSIDE // 2] + own[-(INSIDE // 2) :]
-    left, right = text[max(0, start - LEFT) : start], text[end : end + RIGHT]
-    x = np.zeros(WIDTH, np.int64)
-    last = CODES - 1
-    x[LEFT - len(left) : LEFT] = [CODE.get(c, last) for c in left]
-    x[LEFT : LEFT + len(own)] = [CODE.get(c, last) + CODES for c in own]
-    x[LEFT + INSIDE : LEFT + INSIDE + len(right)] = [CODE.get(c, last) for c in right]
-    return x
+    """Codes of the candidate's windows, one in each row; the candidate's characters carry an offset of
+    CODES. A candidate longer than INSIDE has several windows, which overlap so far that the convolution
+    sees every stretch of it."""
+    rows, last = [], CODES - 1
+    for s in range(start, max(start + 1, end - CharNet.SPAN + 1), INSIDE - CharNet.SPAN + 1):
+        e = min(s + INSIDE, end)
+        x = np.zeros(WIDTH, np.int64)
+        left, own, right = text[max(0, s - LEFT) : s], text[s:e], text[e : e + RIGHT]
+        x[LEFT - len(left) : LEFT] = [CODE.get(c, last) for c in left]
+        x[LEFT : LEFT + len(own)] = [CODE.get(c, last) + CODES for c in own]
+        x[LEFT + INSIDE : LEFT + INSIDE + len(right)] = [CODE.get(c, last) for c in right]
+        if s > start:
+            x[LEFT - min(len(left), s - start) : LEFT] += CODES
+        if e < end:
+            x[LEFT + INSIDE : LEFT + INSIDE + min(len(right), end - e)] += CODES
+        rows.append(x)
+        if e == end:
+            break
+    return np.stack(rows)
+
+
+def windows_of(found: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All candidates' windows, and where each candidate's begin."""
+    own = [encoded(t, s, e) for t, s, e in found]
+    return np.concatenate(own), np.cumsum([0, *map(len, own[:-1])])
 
 
 class CharNet:
@@ -110,8 +130,10 @@ class CharNet:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(x[i : i + 256])[-1] for i in range(0, len(x), 256)]) if len(x) else np.zeros(0)
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(x) + self.offset, -30, 30)))
+    def probability(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of candidates whose windows begin at these rows: that of their most telling window."""
+        z = np.maximum.reduceat(self.raw(x), first)
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.offset, -30, 30)))
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.003, seed: int = 5) -> None:
         rng, params = np.random.default_rng(seed), ["emb", "conv", "shift", "out", "bias"]
@@ -144,9 +166,9 @@ class CharNet:
                     step = rate * (m1[p] / (1 - 0.9**t)) / (np.sqrt(m2[p] / (1 - 0.999**t)) + 1e-8)
                     setattr(self, p, getattr(self, p) - step)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
+    def calibrate(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
         """A logistic curve over raw outputs, and the highest threshold that keeps the recall."""
-        z = self.raw(x)
+        z = np.maximum.reduceat(self.raw(x), first)
         w = np.array([1.0, 0.0])
         f = np.stack([z, np.ones_like(z)], 1)
         for _ in range(50):
@@ -154,7 +176,7 @@ class CharNet:
             bend = (f * (p * (1 - p) + 1e-6)[:, None]).T @ f + 1e-2 * np.eye(2)
             w -= np.clip(np.linalg.solve(bend, f.T @ (p - y) + 1e-2 * (w - [1, 0])), -2, 2)
         self.scale, self.offset = float(w[0]), float(w[1])
-        good = np.sort(self.probability(x)[y == 1])
+        good = np.sort(self.probability(x, first)[y == 1])
         self.threshold = float(good[int((1 - recall) * len(good))]) if len(good) else 0.5
 
 
@@ -208,12 +230,12 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int
 @cache
 def trained() -> CharNet:
     found = labelled_findings()
-    x = np.stack([encoded(t, s, e) for t, s, e, _ in found])
     y = np.array([float(v) for *_, v in found])
     cut = len(found) * 3 // 4
+    x, first = windows_of([f[:3] for f in found[:cut]])
     net = CharNet()
-    net.fit(x[:cut], y[:cut])
-    net.calibrate(x[cut:], y[cut:])
+    net.fit(x, np.repeat(y[:cut], np.diff(np.r_[first, len(x)])))
+    net.calibrate(*windows_of([f[:3] for f in found[cut:]]), y[cut:])
     return net
 
 
@@ -231,16 +253,16 @@ def scan(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = lambda spans: ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
         for b in batches:
-            rows, windows, places, doubted = [], [], [], Counter()
+            rows, asked, places, doubted = [], [], [], Counter()
             for i, text in enumerate(b.column("text").to_pylist()):
                 text = text or ""
                 base = base_spans(text)
                 rows.append((base, list(base)))
                 for s, e, k in [*base, *((s, e, "other") for s, e in other_candidates(text, base))]:
-                    windows.append(encoded(text, s, e))
+                    asked.append((text, s, e))
                     places.append((i, s, e, k))
-            if windows:
-                for (i, s, e, k), p in zip(places, net.probability(np.stack(windows)), strict=True):
+            if asked:
+                for (i, s, e, k), p in zip(places, net.probability(*windows_of(asked)), strict=True):
                     if k != "other":
                         doubted[i] += int(p < net.threshold)
                     elif p >= net.threshold:

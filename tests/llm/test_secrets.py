@@ -33,12 +33,39 @@ def test_base_spans_equal_the_plain_patterns(spark):
 def test_network_finds_held_out_secrets():
     net = s.trained()
     found = s.labelled_findings(1500, seed=77)
-    p = net.probability(np.stack([s.encoded(t, a, e) for t, a, e, _ in found]))
+    p = net.probability(*s.windows_of([f[:3] for f in found]))
     y = np.array([v for *_, v in found])
     hit = p >= net.threshold
     assert hit[y == 1].mean() > 0.95 and y[hit].mean() > 0.95
 
 
+def test_windows_show_all_of_a_long_candidate():
+    """Every five characters of it stand in some window, marked as its own, and its neighbours are not."""
+    text = "id = " + "".join(f"k{i:04d}" for i in range(80)) + " end"
+    x = s.encoded(text, 5, 405)
+    seen = {tuple(r[i : i + 5]) for r in x for i in range(len(r) - 4) if min(r[i : i + 5]) >= s.CODES}
+    own = [s.CODE[c] + s.CODES for c in text[5:405]]
+    assert seen == {tuple(own[i : i + 5]) for i in range(396)}
+    assert len(s.encoded(text, 5, 40)) == 1 and len(x) > 5
+
+
+def test_a_secret_in_the_middle_of_a_long_run():
+    key = "Zk3QxY7bLm9Tn2Vw5Rs8Ud1Pf4Gh6Jc0aEiO" * 2
+    text = "a" + "the/er/an/" * 12 + key + "/la/st/de" * 12
+    a, b = s.trained().probability(*s.windows_of([(text, 0, len(text)), (text.replace(key, ""), 0, len(text) - len(key))]))
+    assert a > b
+
+
+def test_overlaps_are_swept_in_order():
+    parts = [f"token=abcdefgh{i:03d} Zk3QxY7bLm9Tn2Vw5Rs8Ud{i:05d}x" for i in range(8000)]
+    import time
+
+    text, start = " ".join(parts), time.perf_counter()
+    found = s.other_candidates(text, s.base_spans(text))
+    assert len(found) == 8000 and time.perf_counter() - start < 5
+    assert all(text[a - 1] == " " for a, _ in found)
+
+
 def test_other_candidates_are_added_and_prose_is_not(spark):
     key = "ghp_Zk3QxY7bLm9Tn2Vw5Rs8Ud1Pf4Gh6Jc0aEiO"
     texts = [f"export GH={key} done", prose(1, 3000), "see chapter-the-ment-tion-2019 there"]
