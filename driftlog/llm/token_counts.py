@@ -4,6 +4,9 @@ A text is cut into chunks at single spaces; what the library makes of a chunk de
 alone. Chunks not met before are split into pre-tokens by the vocabulary's pattern; all
 pre-tokens of a batch lie end to end in one numpy array of symbols, and in each round every
 pre-token applies its own lowest-rank pair, at all its places, at once. What is left are its tokens.
+Pre-tokens of more than LONG bytes are linked instead of packed, and their places wait by rank: each
+round takes up the places of the lowest rank alone, so that the work does not grow as rounds times
+length.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens, not over the limit); repeated rows
 are counted each; other columns pass through unless they clash with the new ones, which win.
@@ -11,6 +14,7 @@ are counted each; other columns pass through unless they clash with the new ones
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -21,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import small_batches, table
+from driftlog.llm.common import by_size, kept, small_batches, table
 
 #: Chunks whose counts a worker remembers; beyond that it forgets all and starts again.
 REMEMBERED = 400_000
+#: Bytes beyond which pre-tokens are merged by waiting places; characters that are split at once.
+LONG, AT_ONCE = 256, 1_000_000
 NONE = np.int64(1) << 40
 
 
@@ -62,6 +68,71 @@ class RankMerger:
 
     def counts(self, tokens: list[bytes]) -> np.ndarray:
         """The number of symbols that each byte string keeps."""
+        long = [i for i, t in enumerate(tokens) if len(t) > LONG]
+        if not long:
+            return self.packed(tokens)
+        out = np.zeros(len(tokens), np.int64)
+        short = [i for i, t in enumerate(tokens) if len(t) <= LONG]
+        if short:
+            out[short] = self.packed([tokens[i] for i in short])
+        out[long] = self.linked([tokens[i] for i in long])
+        return out
+
+    def linked(self, tokens: list[bytes]) -> np.ndarray:
+        """As packed, for long strings: neighbours are linked, and places wait by their pair's rank."""
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ends = np.cumsum(sizes + 1)  # a mark that pairs with nothing stands after each string
+        symbols = np.full(int(ends[-1]) + 1, -self.size - 1, np.int64)
+        inside = np.ones(len(symbols), bool)
+        inside[0] = inside[ends] = False
+        symbols[inside] = self.byte_id[np.frombuffer(b"".join(tokens), np.uint8)]
+        after, before = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        after[-1] = len(symbols) - 1
+        rank = np.full(len(symbols), NONE)
+        rank[:-1] = self.rank(symbols[:-1], symbols[1:])
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            own = rank[places]
+            order = np.argsort(own, kind="stable")
+            own, places = own[order], places[order]
+            cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            for r, x in zip(own[cuts].tolist(), np.split(places, cuts[1:]), strict=True):
+                if r in waiting:
+                    waiting[r].append(x)
+                else:
+                    waiting[r] = [x]
+                    heapq.heappush(ranks, r)
+
+        if len(found := np.flatnonzero(rank < NONE)):
+            wait(found)
+        gone = np.zeros(len(symbols), bool)
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = waiting.pop(r)
+            at = np.unique(np.concatenate(at)) if len(at) > 1 else at[0]
+            at = at[(rank[at] == r) & ~gone[at]]
+            if len(at) > 1:  # in a run of overlapping places every second one merges, from the left
+                starts = np.r_[True, at[1:] != after[at[:-1]]]
+                run = np.arange(len(at)) - np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
+                at = at[run % 2 == 0]
+            if not len(at):
+                continue
+            right = after[at]
+            symbols[at] = self.made[r]
+            gone[right] = True
+            after[at] = after[right]
+            before[after[right]] = at
+            changed = np.unique(np.concatenate([before[at], at]))
+            rank[changed] = self.rank(symbols[changed], symbols[after[changed]])
+            if len(changed := changed[rank[changed] < NONE]):
+                wait(changed)
+        left = np.add.reduceat(~gone & inside, np.r_[0, ends[:-1]])
+        return left.astype(np.int64)
+
+    def packed(self, tokens: list[bytes]) -> np.ndarray:
+        """All strings lie end to end; each round touches those that still merge."""
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         left = sizes.copy()
         symbols = self.byte_id[np.frombuffer(b"".join(tokens), np.uint8)]
@@ -83,7 +154,7 @@ class RankMerger:
             starts = np.r_[True, (np.diff(at) > 1) | (rank[at[1:]] != rank[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])]
             run = np.arange(len(at)) - np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
             at = at[run % 2 == 0]
-            np.subtract.at(left, owner[at], 1)
+            left -= np.bincount(owner[at], minlength=len(left))
             symbols[at] = self.made[rank[at]]
             keep = live
             keep[at + 1] = False
@@ -111,8 +182,6 @@ class Counter:
         return rest
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
         new = list(chunks)
         tokens, owner = [], []
         for i, c in enumerate(new):
@@ -135,13 +204,11 @@ class Counter:
             wait.append((extra, chunks))
         known = self.known
         new = {c for _, chunks in wait for c in chunks if c not in known}
-        kept = None
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = {c for _, chunks in wait for c in chunks}
         if new:
-            if len(known) + len(new) > REMEMBERED:
-                kept = dict(known)  # chunks of this batch that were known before
             self.learn(new)
-            if kept is not None:
-                known = kept | self.known
         for extra, chunks in wait:
             out.append(extra + sum(map(known.__getitem__, chunks)))
         return out
@@ -159,10 +226,10 @@ def token_counts(
         fields = fields.add(k, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, pattern)
+        counter = kept(f"counter {path} {pattern}", lambda: Counter(path, pattern))
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            n = np.array(counter.count(texts), np.int64)
+            n = np.array([k for own in by_size(texts, AT_ONCE) for k in counter.count(texts[own])], np.int64)
             size = np.array([len(t.encode()) for t in texts], np.int64)
             cols = [b.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays(

@@ -39,3 +39,15 @@ def test_rows_and_limits(spark):
     assert [r.n_bytes for r in got] == [0, 0, 2, len(texts[3])]
     assert [r.n_tokens for r in got] == [0, 0, *want(texts[2:])] and [r.over_limit for r in got] == [False, False, False, True]
     assert token_counts.token_counts(docs(spark, []), PATH).count() == 0
+
+
+def test_long_pre_tokens_count_like_the_library():
+    import random
+    import time
+
+    r = random.Random(4)
+    letters = lambda n, k="abcdefghijklmnopqrstuvwxyz": "".join(r.choice(k) for _ in range(n))
+    texts = [letters(n) for n in (256, 257, 300, 5000)] + ["a" * 3001, "ab" * 700, "tion" * 900 + " " + "é" * 400 + "\n" + "=" * 2000, letters(2000, "aab") + " " + letters(900, "日本語")]
+    assert COUNTER.count(texts) == want(texts)
+    start = time.perf_counter()
+    assert COUNTER.count(["x" + letters(10**6)])[0] > 10**5 and time.perf_counter() - start < 10
