@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import kept, materialise, small_batches, table
+from driftlog.llm.common import broadcast_if_small, kept, materialise, small_batches, table
 from driftlog.llm.components import components
 
 WIDTH, PERCENT = 5, 75
@@ -44,7 +44,7 @@ K, ESTIMATE = 256, 0.61
 FEW, FEW_SHARED = 24, 7
 #: Rounds of hubs before members are compared pairwise.
 ROUNDS = 2
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 class WordHashes(dict):
@@ -91,8 +91,8 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mixed(h).view(np.int64))
 
 
-def set_id(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).astype(np.int64))
+def set_id(shingles: np.ndarray, seed: int = 0) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), seed)).astype(np.int64))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -107,13 +107,14 @@ def sketches(docs: DataFrame) -> DataFrame:
                     b.column("doc_id").cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_id(s) for s in sets], pa.int64()),
+                    pa.array([set_id(s, 1) for s in sets], pa.int64()),
                     pa.array([s[:FEW] for s in sets], pa.list_(pa.int64())),
                     pa.array([s[:K] for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "set_id", "few", "sketch"],
+                ["doc_id", "n_shingles", "set_id", "other_id", "few", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, few array<long>, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, other_id long, few array<long>, sketch array<long>")
 
 
 def shared(postings: DataFrame) -> DataFrame:
@@ -241,7 +242,7 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         np.seterr(over="ignore")
         for b in batches:
             sets = [shingle_set(t) for t in b.column("text").to_pylist()]
-            keep = [i for i, (s, w) in enumerate(zip(sets, b.column("node").to_pylist(), strict=True)) if set_id(s) == w]
+            keep = [i for i, (s, w) in enumerate(zip(sets, b.column("node").to_pylist(), strict=True)) if w in (set_id(s), set_id(s, 1))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("node").take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["node", "shingles"]
             )
@@ -268,9 +269,20 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return near.filter("whole").select("a", "b").unionByName(confirmed)
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """rows, where sets that differ never share a set_id: two hashes of 64 bits tell equal sets; where
+    one set_id stands for several of the other hash, that one takes its place."""
+    mixed_up = rows.groupBy("set_id").agg(F.min("other_id").alias("lo"), F.max("other_id").alias("hi")).filter("lo < hi").select("set_id")
+    mixed_up = materialise(mixed_up, "mixed-up")
+    if not mixed_up.isEmpty():
+        told = mixed_up.withColumn("several", F.lit(True))
+        rows = rows.join(broadcast_if_small(told), "set_id", "left").withColumn("set_id", F.when(F.col("several"), F.col("other_id")).otherwise(F.col("set_id"))).drop("several")
+    return rows.drop("other_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    rows = materialise(sketches(docs), "sketches")
+    rows = apart(materialise(sketches(docs), "sketches"))
     full = rows.filter("n_shingles > 0 and doc_id is not null")
     nodes = full.groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("doc"))
     # by both columns: a set that very many documents have does not meet in one place
