@@ -62,8 +62,8 @@ def put(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     return table.join(updates.select(key), key, "left_anti").unionByName(updates)
 
 
-def put_if_absent(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    return table.unionByName(inserted(table, updates, key))
+def put_if_absent(table: DataFrame, updates: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    return table.unionByName(inserted(table, updates, key, order).select(*table.columns))
 
 
 class CapacityExceeded(ValueError):
@@ -78,9 +78,13 @@ def put_bounded(table: DataFrame, updates: DataFrame, key: str, most: int) -> Da
     return after
 
 
-def inserted(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """The updates that put_if_absent takes."""
-    return updates.join(table.select(key), key, "left_anti")
+def inserted(table: DataFrame, updates: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The updates that put_if_absent takes: of several of one key the first in order, without an order the
+    smallest row."""
+    rest = [c for c in updates.columns if c != key]
+    first = F.min_by(F.struct(*rest), order) if order else F.min(F.struct(*rest))
+    own = updates.join(table.select(key), key, "left_anti").groupBy(key).agg(first.alias("_row"))
+    return own.select(key, *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 
 def replace(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
@@ -101,11 +105,13 @@ def deleted(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 def update(table: DataFrame, wanted: DataFrame, key: str, value: str, change: Callable[[Column], Column]) -> DataFrame:
     """Read, change and write the value of each wanted key. change gets the old value (null if
-    there is none) and returns the new one; null removes the row or leaves it out."""
+    there is none) and returns the new one; null removes the row or leaves it out. Rows of other keys
+    stay as they are, null values too."""
     want = wanted.select(F.col(key).alias("_want")).distinct()
     both = table.join(want, F.col(key) == F.col("_want"), "full_outer")
     new = F.when(F.col("_want").isNotNull(), change(F.col(value))).otherwise(F.col(value))
-    return both.withColumn(value, new).withColumn(key, F.coalesce(key, "_want")).drop("_want").filter(F.col(value).isNotNull())
+    own = both.withColumn(value, new).withColumn(key, F.coalesce(key, "_want"))
+    return own.filter(F.col("_want").isNull() | F.col(value).isNotNull()).drop("_want")
 
 
 def last_writes(updates: DataFrame, key: str, order: str) -> DataFrame:
@@ -119,6 +125,25 @@ def bulk_put(table: DataFrame, updates: DataFrame, key: str, order: str) -> Data
     return put(table, last_writes(updates, key, order).select(*table.columns), key)
 
 
+def bulk_put_sorted(table: DataFrame, updates: DataFrame, key: str, order: str) -> DataFrame:
+    """As bulk_put; the new state comes in ranges of the key and sorted in each, as it is to be stored."""
+    return bulk_put(table, updates, key, order).repartitionByRange(key).sortWithinPartitions(key)
+
+
+def fragmentation(log: DataFrame, key: str, removed: Column | None = None) -> DataFrame:
+    """records, live and ratio (share of records that a compaction drops) of a log of writes: all but the
+    last of each key, and the last where it is a removal."""
+    gone = F.lit(False) if removed is None else removed
+    own = log.groupBy(key).agg(F.count("*").alias("n"), F.max_by(gone, "offset").alias("gone"))
+    told = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count(F.when(~F.col("gone"), 1)).alias("live"))
+    return told.withColumn("ratio", F.coalesce(F.try_divide(F.col("records") - F.col("live"), F.col("records")), F.lit(0.0)))
+
+
+def needs_compaction(told: DataFrame, threshold: float) -> bool:
+    """Whether a log's fragmentation has reached the threshold: 0 always compacts, 1 and more never."""
+    return threshold < 1 and (threshold == 0 or told.first().ratio >= threshold)
+
+
 def clear(table: DataFrame) -> DataFrame:
     return table.limit(0)
 

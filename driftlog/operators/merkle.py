@@ -15,9 +15,14 @@ FANOUT = 1024
 
 
 def leaves(rows: DataFrame, key: str, parts: Sequence[Column]) -> DataFrame:
-    """key, hash: SHA-256 of the row's parts, rendered as text and joined by |."""
-    text = F.concat_ws("|", F.col(key).cast("string"), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
-    return rows.select(F.col(key).alias("key"), F.sha2(text, 256).alias("hash"))
+    """key, hash: SHA-256 of the row's key and parts."""
+    return rows.select(F.col(key).alias("key"), F.sha2(told([F.col(key), *parts]), 256).alias("hash"))
+
+
+def told(parts: Sequence[Column]) -> Column:
+    """Parts as one text that no other parts have: each with its length before it, null as a mark."""
+    each = (p.cast("string") for p in parts)
+    return F.concat(*(F.when(p.isNull(), "-").otherwise(F.concat(F.length(p).cast("string"), F.lit(":"), p)) for p in each))
 
 
 def level(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -27,11 +32,16 @@ def level(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
     return grouped.select(F.col("range").alias("key"), F.sha2(F.array_join(F.transform("own", lambda x: x["hash"]), ""), 256).alias("hash"))
 
 
-def root(nodes: DataFrame, levels: int, fanout: int = FANOUT) -> DataFrame:
-    """The tree's top after so many levels (fanout ** levels must exceed the keys)."""
-    for _ in range(levels):
-        nodes = level(nodes, fanout)
-    return nodes
+def root(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """The tree's top (no row without leaves): as many levels as the range of the keys needs, however many
+    keys there are. Keys on both sides of 0 meet in a last node."""
+    lo, hi = nodes.agg(F.min("key"), F.max("key")).first()
+    if lo is None:
+        return nodes
+    while lo != hi and (lo, hi) != (-1, 0):
+        nodes, lo, hi = level(nodes, fanout), lo // fanout, hi // fanout
+    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "hash"))), lambda x: x["hash"]), "")
+    return nodes.agg(top.alias("hashes")).select(F.lit(0).cast("long").alias("key"), F.sha2("hashes", 256).alias("hash"))
 
 
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:

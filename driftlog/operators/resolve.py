@@ -83,22 +83,25 @@ def resolve(events: DataFrame, values: Sequence[str], key: Sequence[str] = KEY)
 
 def replay(snapshot: DataFrame, events: DataFrame, values: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
     """Rows after events that arrived since a snapshot of resolved rows: what recovery does. The
-    snapshot's cells count as arrivals before all others."""
-    before = snapshot.select(*key, F.lit(-1).cast("long").alias("offset"), F.when(F.col("tombstone"), "delete").otherwise("replace").alias("op"), *values, "H")
-    return resolve(before.unionByName(events.select(*key, "offset", "op", *values, "H")), values, key)
+    snapshot's cells count as arrivals before all others. With a column sync in both, sync flags take part."""
+    sync = ["sync"] if "sync" in snapshot.columns and "sync" in events.columns else []
+    before = snapshot.select(*key, F.lit(-1).cast("long").alias("offset"), F.when(F.col("tombstone"), "delete").otherwise("replace").alias("op"), *values, *sync, "H")
+    both = before.unionByName(events.select(*key, "offset", "op", *values, *sync, "H"))
+    return resolve_with_sync(both, values, key) if sync else resolve(both, values, key)
 
 
 def resolve_with_sync(events: DataFrame, values: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
-    """As resolve, where set_sync events (column sync) take part: sync flag, value and clock."""
+    """As resolve, where set_sync events (column sync) take part: sync flag, value and clock. Events
+    with negative offsets are a snapshot's cells, which bring their flags."""
     cell = F.struct((F.col("op") == "delete").alias("tombstone"), *(F.col(v) for v in values))
     effective = gate(events, key).filter("eff")
     own = effective.groupBy(*key).agg(
         F.max_by(F.when(F.col("op") != "set_sync", cell), F.when(F.col("op") != "set_sync", F.col("offset"))).alias("cell"),
-        F.max_by("sync", F.when(F.col("op") == "set_sync", F.col("offset"))).alias("sync"),
+        F.max_by(F.struct("sync"), F.when((F.col("op") == "set_sync") | (F.col("offset") < 0), F.col("offset"))).alias("flag"),
         F.max("H").alias("H"),
     )
     tomb = F.coalesce(F.col("cell.tombstone"), F.lit(True))
-    return own.select(*key, tomb.alias("tombstone"), *(F.when(~tomb, F.col(f"cell.{v}")).alias(v) for v in values), "sync", "H")
+    return own.select(*key, tomb.alias("tombstone"), *(F.when(~tomb, F.col(f"cell.{v}")).alias(v) for v in values), F.col("flag.sync").alias("sync"), "H")
 
 
 def live(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ per sequence on arrays (an iterative walk: a typed text is a chain as deep as it
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,41 +35,55 @@ def walk(ids: Sequence[str], after: Sequence[str | None]) -> list[int]:
 
 
 def list_elements(inserts: DataFrame, deletes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Elements (key, id, after, ...) with deleted_at, the newest deletion's clock."""
+    """Elements (key, id, after, ...) with deleted_at, the newest deletion's clock, and known. Deletions of
+    elements that have not been inserted yet wait as elements that are not known: they and what
+    follows them are hidden."""
     gone = deletes.groupBy(*key, "id").agg(F.max("H").alias("deleted_at"))
-    return inserts.join(gone, [*key, "id"], "left")
+    return inserts.withColumn("known", F.lit(True)).join(gone, [*key, "id"], "full_outer").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def visible(elements: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """key, id, position (from 0) of the elements that show: placed, and not deleted after they
-    were inserted. Other columns ride along by a join on the id."""
+def list_dead(i: str, deleted_at: str) -> bool:
+    """A list's element outlives deletions that are not newer than its insertion."""
+    return deleted_at > i
+
+
+def text_dead(i: str, deleted_at: str) -> bool:
+    """A character's id is its insertion's clock and eight digits; a deletion as old as that hides it."""
+    return deleted_at >= i[:-8]
+
+
+def visible(elements: DataFrame, key: Sequence[str] = KEY, hidden: Callable[[str, str], bool] = list_dead) -> DataFrame:
+    """key, id, position (from 0) of the elements that show: placed, and not deleted. Other columns ride
+    along by a join on the id."""
     kinds = elements.select(*key).schema.simpleString()[7:-1].replace(":", " ")
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.reset_index(drop=True)
         ids = rows["id"].tolist()
         after = [None if pd.isna(a) else a for a in rows["after"]]
-        dead = [not pd.isna(d) and d >= i for d, i in zip(rows["deleted_at"], ids, strict=True)]
+        dead = [not pd.isna(d) and hidden(i, d) for d, i in zip(rows["deleted_at"], ids, strict=True)]
         at = [i for i in walk(ids, after) if not dead[i]]
         out = rows.loc[at, [*key, "id"]].copy()
         out["position"] = range(len(at))
         return out
 
     reachable(elements.sparkSession)
-    slim = elements.select(*key, "id", "after", "deleted_at")
+    slim = (elements.filter("known") if "known" in elements.columns else elements).select(*key, "id", "after", "deleted_at")
     return slim.groupBy(*key).applyInPandas(place, f"{kinds.replace(',', ', ')}, id string, position long")
 
 
 def list_merge(replicas: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Union of replicas' elements; deletions keep the newest clock. conflict marks ids that the
-    replicas place differently, which a merge must refuse."""
+    """Union of replicas' elements; deletions keep the newest clock, and what one replica knows of an
+    element's place all know. conflict marks ids that the replicas place differently, which a merge must
+    refuse."""
+    known = F.col("known") if "known" in replicas.columns else F.lit(True)
     return replicas.groupBy(*key, "id").agg(
-        F.min("after").alias("after"), F.max("deleted_at").alias("deleted_at"),
-        (F.countDistinct(F.coalesce("after", F.lit(""))) > 1).alias("conflict"),
+        F.min("after").alias("after"), F.max("deleted_at").alias("deleted_at"), F.max(known).alias("known"),
+        (F.countDistinct(F.when(known, F.coalesce("after", F.lit("")))) > 1).alias("conflict"),
     )
 
 
-def list_compact(elements: DataFrame, watermark: str, key: Sequence[str] = KEY) -> DataFrame:
+def list_compact(elements: DataFrame, watermark: str, key: Sequence[str] = KEY, hidden: Callable[[str, str], bool] = list_dead) -> DataFrame:
     """Without deleted elements as old as the watermark that no remaining element follows, until
     none is left. Chains of tombstones fall together: an element goes if all that hang on it go."""
 
@@ -77,7 +91,7 @@ def list_compact(elements: DataFrame, watermark: str, key: Sequence[str] = KEY)
 
     def shrink(rows: pd.DataFrame) -> pd.DataFrame:
         ids, after = rows["id"].tolist(), rows["after"].tolist()
-        stable = {i for i, d in zip(ids, rows["deleted_at"], strict=True) if not pd.isna(d) and d >= i and d <= watermark}
+        stable = {i for i, d in zip(ids, rows["deleted_at"], strict=True) if not pd.isna(d) and hidden(i, d) and d <= watermark}
         needed = dict.fromkeys(ids, 0)
         for a in after:
             if a in needed:
@@ -114,8 +128,8 @@ def char_id(h: Column, at: Column) -> Column:
 
 
 def text_visible(chars: DataFrame, deletes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """key, id, position of the characters that show. A character outlives older deletions."""
-    return visible(list_elements(chars, deletes, key), key)
+    """key, id, position of the characters that show. A character outlives deletions older than it."""
+    return visible(list_elements(chars, deletes, key), key, text_dead)
 
 
 def text_string(chars: DataFrame, deletes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -138,6 +152,15 @@ def text_compact(attrs: DataFrame, watermark: str) -> DataFrame:
     return attrs.filter(F.col("value").isNotNull() | (F.col("H") > watermark))
 
 
+def text_compact_chars(chars: DataFrame, watermark: str, key: Sequence[str] = KEY) -> DataFrame:
+    """Characters (key, id, after, deleted_at, ...) without those deleted by the watermark that no
+    remaining character follows; deletions that wait for their character go likewise."""
+    return list_compact(chars, watermark, key, lambda i, d: True)
+
+
+def cell_at(shown: DataFrame, elements: DataFrame, position: int, key: Sequence[str] = KEY) -> DataFrame:
+    """The elements, with all their columns, at a position of each sequence."""
+    return elements.join(id_at(shown, position).select(*key, "id"), [*key, "id"], "left_semi")
 
 
 def id_at(shown: DataFrame, position: int) -> DataFrame:

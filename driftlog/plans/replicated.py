@@ -260,6 +260,32 @@ def list_merge(spark, sf_dir):
     return m.select("pk", "id", "after", "deleted_at", "conflict")
 
 
+def list_placeholders(spark, sf_dir):
+    """Deletions that come before what they delete: a replica that has seen only every second insertion
+    and all deletions, then merged with one that has seen all insertions."""
+    i, d = list_inserts(spark, sf_dir), _deletes(spark, sf_dir)
+    early = sequence.list_elements(i.filter(F.col("turn") % 2 == 0), d)
+    merged = sequence.list_merge(early.unionByName(sequence.list_elements(i, _none(d))))
+    both = [sequence.visible(x).groupBy("pk").agg(F.count("*").alias(n)) for x, n in ((early, "before"), (merged, "after"))]
+    waiting = early.filter("not known").groupBy("pk").agg(F.count("*").alias("waiting"))
+    rows = i.select("pk").distinct().join(waiting, "pk", "left").join(both[0], "pk", "left").join(both[1], "pk", "left")
+    return rows.select("pk", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("waiting", "before", "after")))
+
+
+def list_equal_clocks(spark, sf_dir):
+    """Deletions with the very clock of their element do nothing."""
+    i = list_inserts(spark, sf_dir)
+    d = i.filter(F.col("turn") % 3 == 1).select("pk", "id", F.col("id").alias("H"))
+    return sequence.visible(sequence.list_elements(i, d)).select("pk", "position", "id")
+
+
+def list_element_at(spark, sf_dir):
+    """The second element of each list, with what it holds."""
+    i = list_inserts(spark, sf_dir)
+    shown = sequence.visible(sequence.list_elements(i, _deletes(spark, sf_dir)))
+    return sequence.cell_at(shown, i, 1).select("pk", "id", "turn")
+
+
 def list_compact(spark, sf_dir):
     """Nothing old enough is followed by nothing, except tombstones at the end of a list."""
     e = sequence.list_elements(list_inserts(spark, sf_dir), _deletes(spark, sf_dir)).select("pk", "id", "after", "deleted_at")
@@ -268,11 +294,11 @@ def list_compact(spark, sf_dir):
 
 TURNS = "t AS (SELECT DISTINCT conv_id AS pk, turn FROM conversations)"
 
-# texts: benchmark items, each typed in one go
+# texts: documents, each typed in one go
 
 
 def text_chars(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pk"), F.lit("0001").alias("H"), F.lit(None).cast("string").alias("after"), "text")
+    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pk"), F.lit("0001").alias("H"), F.lit(None).cast("string").alias("after"), "text")
     return sequence.text_inserts(b)
 
 
@@ -294,6 +320,27 @@ def text_delete(spark, sf_dir):
     return sequence.text_string(c, _char_deletes(c))
 
 
+def text_equal_clocks(spark, sf_dir):
+    """Deletions with the very clock of the insertion hide every fifth character."""
+    c = text_chars(spark, sf_dir)
+    d = c.filter(_place(F.col("id")) % 5 == 0).select("pk", "id", F.lit("0001").alias("H"))
+    return sequence.text_string(c, d)
+
+
+def text_id_at(spark, sf_dir):
+    """Place of the character that the tenth visible one was when it was typed."""
+    c = text_chars(spark, sf_dir)
+    return sequence.id_at(sequence.text_visible(c, _char_deletes(c)), 9).select("pk", _place(F.col("id")).alias("typed"))
+
+
+def text_compact_chars(spark, sf_dir):
+    """Every character deleted but each hundredth: those after the last one that stays go."""
+    c = text_chars(spark, sf_dir)
+    gone = c.filter(_place(F.col("id")) % 100 != 0).select("pk", "id", F.lit("0002").alias("H"))
+    left = sequence.text_compact_chars(sequence.list_elements(c, gone).select("pk", "id", "after", "deleted_at"), "0002")
+    return left.groupBy("pk").agg(F.count("*").alias("chars"))
+
+
 def text_formats(spark, sf_dir):
     c = text_chars(spark, sf_dir).select("pk", "id", _place(F.col("id")).alias("at"))
     n = Window.partitionBy("pk")
@@ -325,12 +372,12 @@ QUERIES = {
     for f in (
         counter_components, counter_value, counter_replica_merge, set_members, set_replica_merge, set_compact, orset_members, orset_observed_remove,
         orset_merge, orset_compact, mvregister_values, mvregister_merge, mvregister_compact, pq_live_order, pq_head, pq_pop_before_push, pq_merge,
-        pq_compact, record_fields, record_merge, record_compact, list_order, list_head_inserts, list_with_deletes, list_merge, list_compact,
-        text_render, text_delete, text_format_lww, text_compact, text_merge,
+        pq_compact, record_fields, record_merge, record_compact, list_order, list_head_inserts, list_with_deletes, list_merge, list_compact, list_placeholders,
+        list_equal_clocks, list_element_at, text_equal_clocks, text_id_at, text_compact_chars, text_render, text_delete, text_format_lww, text_compact, text_merge,
     )
 }
 
-ITEMS = "i AS (SELECT item_id AS pk, text, length(text) AS n FROM benchmark)"
+ITEMS = "i AS (SELECT doc_id AS pk, text, length(text) AS n FROM documents WHERE length(text) > 0)"
 
 SQL = {
     "counter_components": f"WITH {COUNTER} SELECT pk, dev, CAST(sum(greatest(d,0)) AS BIGINT) AS pos, CAST(sum(greatest(-d,0)) AS BIGINT) AS neg FROM o GROUP BY ALL",
@@ -363,7 +410,14 @@ r AS (SELECT pk, count(*) AS n_removals FROM rm, wm WHERE NOT (tag<=wm AND remov
     "list_merge": f"""WITH {TURNS}, e AS (SELECT pk, turn, lpad(lower(to_hex(turn+1)),8,'0') AS id, lpad(lower(to_hex(lag(turn) OVER (PARTITION BY pk ORDER BY turn)+1)),8,'0') AS after FROM t)
 SELECT pk, id, after, CASE WHEN turn%3=1 THEN id||'z' END AS deleted_at, false AS conflict FROM e""",
     "list_compact": f"""WITH {TURNS} SELECT pk, lpad(lower(to_hex(turn+1)),8,'0') AS id FROM t x WHERE turn%3<>1 OR EXISTS (SELECT 1 FROM t y WHERE y.pk=x.pk AND y.turn>x.turn AND y.turn%3<>1)""",
-    "text_render": "SELECT item_id AS pk, text FROM benchmark",
+    "text_render": f"WITH {ITEMS} SELECT pk, text FROM i",
+    "list_placeholders": f"""WITH {TURNS}, x AS (SELECT pk, turn, turn - row_number() OVER (PARTITION BY pk ORDER BY turn) + 1 AS lost FROM t)
+SELECT pk, count(*) FILTER (turn%3=1 AND turn%2<>0) AS waiting, count(*) FILTER (turn=0) AS before, count(*) FILTER (turn%3<>1) AS after FROM x GROUP BY pk""",
+    "list_equal_clocks": f"WITH {TURNS} SELECT pk, row_number() OVER (PARTITION BY pk ORDER BY turn) - 1 AS position, lpad(lower(to_hex(turn+1)),8,'0') AS id FROM t",
+    "list_element_at": f"WITH {TURNS}, v AS (SELECT pk, turn, row_number() OVER (PARTITION BY pk ORDER BY turn) AS n FROM t WHERE turn%3<>1) SELECT pk, lpad(lower(to_hex(turn+1)),8,'0') AS id, turn FROM v WHERE n=2",
+    "text_equal_clocks": f"WITH {ITEMS}, x AS (SELECT pk, text, unnest(range(n)) AS place FROM i) SELECT pk, string_agg(substr(text, place+1, 1), '' ORDER BY place) AS text FROM x WHERE place%5<>0 GROUP BY pk",
+    "text_id_at": f"WITH {ITEMS} SELECT pk, CAST(12 AS BIGINT) AS typed FROM i WHERE n > 12",
+    "text_compact_chars": f"WITH {ITEMS} SELECT pk, 100 * ((n-1)//100) + 1 AS chars FROM i",
     "text_delete": f"WITH {ITEMS}, x AS (SELECT pk, text, unnest(range(n)) AS place FROM i) SELECT pk, string_agg(substr(text, place+1, 1), '' ORDER BY place) AS text FROM x WHERE place%5<>0 GROUP BY pk",
     "text_format_lww": f"WITH {ITEMS} SELECT pk, n//4 AS bold, 3*n//4 - n//4 AS plain FROM i",
     "text_compact": f"WITH {ITEMS} SELECT pk, n//4 AS kept FROM i",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlog.operators import nested, resolve
+from driftlog.operators import fold, nested, resolve
 from driftlog.sources.eventlog import LOG_SQL, log, table
 
 
@@ -140,11 +140,77 @@ def nested_path_fold(spark, sf_dir):
     return nested.fold(e)
 
 
+def mixed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log of all kinds of operations, each on its field of the row's record: views count, clicks add to
+    and remove from a set, signups replace a name. Errors are of a type that does not exist."""
+    e, kind, even = log(spark, sf_dir).filter("event_type <> 'purchase'"), F.col("event_type"), F.col("offset") % 2 == 0
+    name = F.when(kind == "view", "views").when(kind == "click", "likes").otherwise("name")
+    n, elem = F.col("k").cast("string"), F.concat(F.lit('"'), F.col("k").cast("string"), F.lit('"'))
+    arg = F.when(kind == "view", F.concat(F.lit('{"do":"'), F.when(even, "increment").otherwise("decrement"), F.lit('","n":'), n, F.lit("}")))
+    arg = arg.when(kind == "click", F.concat(F.lit('{"do":"'), F.when(even, "add").otherwise("remove"), F.lit('","elem":'), elem, F.lit("}"))).otherwise(elem)
+    return e.select(
+        "pk", "offset", F.array(F.concat(F.lit("Record:"), name)).alias("path"), F.when(kind == "signup", "replace").otherwise("type").alias("op"),
+        F.when(kind == "view", "Counter").when(kind == "click", "Set").when(kind == "signup", "String").otherwise("Nothing").alias("tag"),
+        arg.alias("arg"), "H", F.col("dev").cast("string").alias("dev"),
+    )
+
+
+def _mixed_told(folded: DataFrame) -> DataFrame:
+    value = F.col("value")
+    views = F.from_json(F.get_json_object(value, "$.views.value"), "map<string,array<long>>")
+    likes = F.from_json(F.get_json_object(value, "$.likes.value"), "map<string,struct<updated:string,deleted:string>>")
+    none = F.lit(0).cast("long")
+    return fold.states(folded).select(
+        "pk", F.coalesce(F.aggregate(F.map_values(views), none, lambda a, x: a + x[0] - x[1]), none).alias("views"),
+        F.size(F.filter(F.coalesce(F.map_values(likes), F.array().cast("array<struct<updated:string,deleted:string>>")), lambda x: F.coalesce(x["updated"], F.lit("")) > F.coalesce(x["deleted"], F.lit("")))).cast("long").alias("likes"),
+        F.get_json_object(value, "$.name.value").alias("name"),
+    )
+
+
+def mixed_log_fold(spark, sf_dir):
+    return _mixed_told(fold.fold(mixed_log(spark, sf_dir)))
+
+
+def mixed_log_dead_letters(spark, sf_dir):
+    return fold.dead_letters(fold.fold(mixed_log(spark, sf_dir)))
+
+
+def mixed_log_resumed(spark, sf_dir):
+    """The log's first half folded, and the second half folded on from these states."""
+    e = mixed_log(spark, sf_dir)
+    half = e.agg(F.max("offset")).first()[0] // 2
+    return _mixed_told(fold.fold(e.filter(F.col("offset") > half), before=fold.fold(e.filter(F.col("offset") <= half))))
+
+
+def mixed_log_merge(spark, sf_dir):
+    """Replicas that have each seen some devices' events, merged by merge operations into empty rows."""
+    e = mixed_log(spark, sf_dir)
+    sides = [fold.states(fold.fold(e.filter(F.col("dev").isin(*own)))) for own in (["0", "1"], ["2", "3"])]
+    cell = F.concat(F.lit('{"tag":"Record","value":'), F.col("value"), F.lit(',"h":"'), F.col("H"), F.lit('","sync":null}'))
+    ops = [s.filter("tag = 'Record'").select("pk", F.lit(i).cast("long").alias("offset"), F.lit("merge").alias("op"), cell.alias("arg"), F.col("H"), F.lit("0").alias("dev")) for i, s in enumerate(sides)]
+    merged = _mixed_told(fold.fold(ops[0].unionByName(ops[1])))
+    return merged
+
+
+def mixed_log_compact(spark, sf_dir):
+    """Elements that the sets still know of after a compaction."""
+    folded = fold.states(fold.fold(mixed_log(spark, sf_dir), watermark=watermark(spark, sf_dir)))
+    likes = F.from_json(F.get_json_object("value", "$.likes.value"), "map<string,struct<updated:string,deleted:string>>")
+    return folded.select("pk", F.coalesce(F.size(F.map_keys(likes)), F.lit(0)).cast("long").alias("elements")).filter("elements > 0")
+
+
+def nested_projection(spark, sf_dir):
+    """Of cells folded at paths, those at or below the field f1: all have been written."""
+    e = _paths(log(spark, sf_dir)).filter("size(path) = 2").withColumn("op", F.lit("replace")).withColumn("value", F.col("k").cast("string"))
+    return nested.project(nested.fold(e), "f2").select("pk", "path", "H")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lww_root_resolve, lww_root_live, snapshot_replay, lww_cell_clock, lww_change_feed, lww_gate_by_stretches, set_sync_gate, set_sync_feed, remote_origin_filter, nested_sync_policy,
-        type_heal_root, cell_merge_tombstone, scalar_merge_replicas, tombstone_gc, subtree_max_clock, nested_path_fold,
+        type_heal_root, cell_merge_tombstone, scalar_merge_replicas, tombstone_gc, subtree_max_clock, nested_path_fold, mixed_log_fold, mixed_log_dead_letters, mixed_log_resumed, mixed_log_merge,
+        mixed_log_compact, nested_projection,
     )
 }
 
@@ -152,7 +218,20 @@ RESOLVED = """, r AS (SELECT pk, op='delete' AS tombstone, CASE WHEN op='replace
   WHERE NOT EXISTS (SELECT 1 FROM w y WHERE y.pk=x.pk AND (y.H>x.H OR (y.H=x.H AND y."offset"<x."offset"))))"""
 PATHS = """, p AS (SELECT *, CASE "offset"%3 WHEN 0 THEN '' WHEN 1 THEN 'f'||("offset"%3) ELSE 'f'||("offset"%3)||'/g'||(k%3) END AS path FROM log)"""
 
+MIXED = LOG_SQL + """, t AS (SELECT pk, elem, max(CASE WHEN add THEN H END) AS u, max(CASE WHEN NOT add THEN H END) AS d FROM (SELECT pk, k AS elem, "offset"%2=0 AS add, H FROM log WHERE event_type='click') GROUP BY ALL),
+v AS (SELECT pk, sum(CASE WHEN "offset"%2=0 THEN k ELSE -k END) AS views FROM log WHERE event_type='view' GROUP BY pk),
+l AS (SELECT pk, count(*) FILTER (coalesce(u,'') > coalesce(d,'')) AS likes FROM t GROUP BY pk),
+s AS (SELECT pk, arg_max(CAST(k AS VARCHAR), H) AS name FROM log WHERE event_type='signup' GROUP BY pk),
+pks AS (SELECT DISTINCT pk FROM log WHERE event_type <> 'purchase'), seen AS (SELECT DISTINCT pk FROM log WHERE event_type IN ('view','click','signup'))"""
+MIXED_ROWS = "SELECT pk, CAST(coalesce(views,0) AS BIGINT) AS views, CAST(coalesce(likes,0) AS BIGINT) AS likes, name FROM {} LEFT JOIN v USING (pk) LEFT JOIN l USING (pk) LEFT JOIN s USING (pk)"
+
 SQL = {
+    "mixed_log_fold": f"WITH {MIXED} {MIXED_ROWS.format('pks')}",
+    "mixed_log_resumed": f"WITH {MIXED} {MIXED_ROWS.format('pks')}",
+    "mixed_log_merge": f"WITH {MIXED} {MIXED_ROWS.format('seen')}",
+    "mixed_log_dead_letters": f"WITH {LOG_SQL} SELECT pk, \"offset\", 'Refused: no type Nothing' AS error FROM log WHERE event_type='error'",
+    "mixed_log_compact": f"WITH {MIXED}{WM} SELECT pk, count(*) AS elements FROM t, wm WHERE coalesce(u,'')>coalesce(d,'') OR coalesce(d,'')>wm GROUP BY pk",
+    "nested_projection": f"WITH {LOG_SQL}{PATHS} SELECT pk, path, max(H) AS H FROM p WHERE \"offset\"%3=2 GROUP BY ALL",
     "lww_root_resolve": f"WITH {WRITES}{RESOLVED} SELECT pk, tombstone, value, H FROM r",
     "lww_root_live": f"WITH {WRITES}{RESOLVED} SELECT pk, value FROM r WHERE NOT tombstone",
     "snapshot_replay": f"WITH {WRITES}{RESOLVED} SELECT pk, tombstone, value, H FROM r",

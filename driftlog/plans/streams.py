@@ -62,9 +62,13 @@ def _like(p: str) -> str:
 
 
 def poll_round_robin(spark, sf_dir):
-    """The first 128 records of a poll that takes one of each table in turn."""
+    """The first 128 records of a poll that takes one of each table in turn. Each
+    share of the log gives its first 128 of a table at most (Spark filters groups by rank before it
+    shuffles); only these are numbered."""
+    rank = Window.partitionBy("event_type", "share").orderBy("offset")
+    few = log(spark, sf_dir).withColumn("share", F.pmod(F.xxhash64("offset"), F.lit(64))).withColumn("n", F.row_number().over(rank)).filter("n <= 128")
     turn = F.row_number().over(Window.partitionBy("event_type").orderBy("offset"))
-    return log(spark, sf_dir).withColumn("turn", turn.cast("long")).orderBy("turn", "event_type").limit(128).select("event_type", "offset", "turn")
+    return few.withColumn("turn", turn.cast("long")).orderBy("turn", "event_type").limit(128).select("event_type", "offset", "turn")
 
 
 def due_timers(spark, sf_dir):
@@ -138,14 +142,18 @@ def merkle_leaves(spark, sf_dir):
 
 
 def merkle_root(spark, sf_dir):
-    return merkle.root(_leaves(spark, sf_dir), 3)
+    return merkle.root(_leaves(spark, sf_dir))
 
 
 def merkle_diff_replicas(spark, sf_dir):
     return merkle.differing(merkle.level(_leaves(spark, sf_dir)), merkle.level(_leaves(spark, sf_dir, True)))
 
 
-HASHED = "l AS (SELECT o_orderkey AS key, sha256(o_orderkey || '|' || CAST(o_totalprice AS DECIMAL(18,2)) || '|' || {status}) AS hash FROM orders)"
+def _part(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE length(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+
+
+HASHED = f"l AS (SELECT o_orderkey AS key, sha256({_part('o_orderkey')} || {_part('CAST(o_totalprice AS DECIMAL(18,2))')} || {_part('({status})')}) AS hash FROM orders)"
 LEAVES = HASHED.format(status="o_orderstatus")
 OTHER = HASHED.format(status="CASE WHEN o_orderkey%1999=0 THEN 'X' ELSE o_orderstatus END").replace("l AS", "m AS", 1)
 
@@ -217,6 +225,8 @@ def stream_fulltext(spark, sf_dir):
 def _folder(spark: SparkSession, name: str) -> str:
     """Checkpoints go to the folder that the cluster names for them."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     return f"{root.rstrip('/')}/{name}" if root else tempfile.mkdtemp(prefix=name)
 
 
@@ -249,7 +259,7 @@ SQL = {
     "indexer_stats": r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda token: octet_length(encode(token)) >= 2)) AS BIGINT) AS words FROM documents",
     "archiver_report": r"WITH s AS (SELECT len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda token: octet_length(encode(token)) >= 2)) AS words FROM documents) SELECT count(*) AS docs, CAST(sum(words) AS BIGINT) AS total_words, 'docs=' || count(*) || ' total_words=' || CAST(sum(words) AS BIGINT) AS report FROM s",
     "merkle_leaves": f"WITH {LEAVES} SELECT * FROM l",
-    "merkle_root": f"WITH {LEAVES}, {_up('l', 'l1')}, {_up('l1', 'l2')}, {_up('l2', 'l3')} SELECT * FROM l3",
+    "merkle_root": f"WITH {LEAVES}, {_up('l', 'l1')}, {_up('l1', 'l2')} SELECT CAST(0 AS BIGINT) AS key, sha256(string_agg(hash, '' ORDER BY key)) AS hash FROM l2",
     "merkle_diff_replicas": f"WITH {LEAVES}, {OTHER}, {_up('l', 'l1')}, {_up('m', 'm1')} SELECT key FROM l1 FULL JOIN m1 USING (key) WHERE l1.hash IS DISTINCT FROM m1.hash",
     "scripted_filter": f"""WITH {WRITES}, f AS (SELECT x.*, CASE WHEN op='replace' THEN value END AS v FROM w x WHERE NOT EXISTS (SELECT 1 FROM w y WHERE y.pk=x.pk AND y."offset"<x."offset" AND y.H>=x.H)),
 g AS (SELECT pk, "offset", v, lag(v) OVER (PARTITION BY pk ORDER BY "offset") AS b FROM f) SELECT pk, "offset" FROM g WHERE v > b""",

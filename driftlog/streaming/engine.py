@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from driftlog.functions.globs import matches_name
 from driftlog.functions.retry import RetryConfig, backoff_ms
-from driftlog.operators import resolve
+from driftlog.operators import fold, kv, resolve
 from driftlog.sources import topics
 
-EVENT = "offset long, pk string, op string, value string, H string, dev string"
+#: value is a row's plain value or, with a tag, the JSON that operators.fold takes as arg.
+EVENT = "offset long, pk string, path array<string>, op string, tag string, value string, sync boolean, H string, dev string"
+EVENT_COLUMNS = ["offset", "pk", "path", "op", "tag", "value", "sync", "H", "dev"]
 CONTINUE, FINISH = "continue", "finish"
 ACTIVE, FINISHED, FAILED = "active", "finished", "failed"
 
@@ -98,24 +100,62 @@ class Table:
         return log if self.config.sync else resolve.accept_remote(log, self.config.local_device)
 
     def insert(self, events: DataFrame) -> None:
-        """Appends events (pk, op, value, H, dev) in the order of their column offset, if they have one."""
+        """Appends events (pk, op, value, H, dev, and path, tag, sync where they need them) in the order of
+        their column offset, if they have one."""
         db = self._open()
         first = self.size_of_log()
         if "offset" not in events.columns:
             events = events.withColumn("offset", F.monotonically_increasing_id())
         # batches are of one writer and small; a bulk load numbers with sources.topics instead
         rows = events.orderBy("offset").coalesce(1).withColumn("offset", F.monotonically_increasing_id() + first)
-        rows.select("offset", "pk", "op", "value", "H", "dev").write.mode("append").parquet(self.path)
+        none = {"path": "array<string>", "tag": "string", "sync": "boolean"}
+        rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(none[c]).alias(c) for c in EVENT_COLUMNS)).write.mode("append").parquet(self.path)
         db.spark.catalog.clearCache()
 
     def size_of_log(self) -> int:
         return self._open().spark.read.schema(EVENT).parquet(self.path).count()
 
+    def plain(self) -> DataFrame:
+        """The events on whole rows that replace, delete or set a sync flag."""
+        return self.events().filter(F.col("op").isin("replace", "delete", "set_sync") & (F.coalesce(F.size("path"), F.lit(0)) <= 0))
+
     def rows(self) -> DataFrame:
-        return resolve.resolve(self.events(), ["value"])
+        """pk, tombstone, value, H and, if the log ever sets a sync flag, sync. What rows hold inside is in cells()."""
+        own = self.plain()
+        if own.filter("op = 'set_sync'").isEmpty():
+            return resolve.resolve(own, ["value"])
+        return resolve.resolve_with_sync(own, ["value"])
+
+    def cells(self, watermark: str | None = None) -> DataFrame:
+        """The fold of all events, of every operation and path: states and dead letters (see operators.fold)."""
+        db = self._open()
+        log = db.spark.read.schema(EVENT).parquet(self.path)
+        listed = F.to_json(F.array("value"))  # JSON of one value is that of a list without its brackets
+        plain = F.substr(listed, F.lit(2), F.length(listed) - 2)
+        arg = F.when(F.col("tag").isNull() & (F.col("op") == "replace"), plain).otherwise(F.col("value"))
+        tag = F.when(F.col("op") == "replace", F.coalesce("tag", F.lit("String"))).otherwise(F.col("tag"))
+        return fold.fold(log.withColumn("arg", arg).withColumn("tag", tag), self.config.sync, self.config.local_device, watermark=watermark)
+
+    def dead_letters(self) -> DataFrame:
+        """pk, offset and error of the events that their types refused."""
+        return fold.dead_letters(self.cells())
 
     def changes(self) -> DataFrame:
-        return resolve.change_feed(self.events(), ["value"])
+        return resolve.change_feed(self.plain(), ["value"])
+
+    def fragmentation(self) -> DataFrame:
+        """Share of the log's records that later ones have overwritten."""
+        return kv.fragmentation(self._open().spark.read.schema(EVENT).parquet(self.path), "pk", F.col("op") == "delete")
+
+    def maybe_compact(self, threshold: float = 0.5) -> bool:
+        """Compacts the log if its fragmentation has reached the threshold; a followed log is left alone."""
+        db = self._open()
+        if any(db.phase(op) == ACTIVE and self.name in db.inputs(op) for op in db.operators.read()):
+            return False
+        if not kv.needs_compaction(self.fragmentation(), threshold):
+            return False
+        self.compact()
+        return True
 
     def stats(self) -> DataFrame:
         """Records of the log, first and next offset, rows (tombstones count)."""
@@ -232,10 +272,12 @@ class Database:
         self.tables, self.states, self.operators, self.timers = (Catalog(os.path.join(root, f"{n}.json")) for n in ("tables", "states", "operators", "timers"))
         self.open = True
         self.running: dict[str, Operator] = {}
+        self.handles: set[str] = set()
 
     def close(self) -> None:
         self.open = False
         self.running.clear()
+        self.handles.clear()
 
     # tables and states
 
@@ -245,6 +287,7 @@ class Database:
         if name not in known or (config and asdict(config) != known[name]):
             self.tables.put(name, asdict(config or TableConfig()))
         os.makedirs(os.path.join(self.root, "tables", name), exist_ok=True)
+        self.handles.add(name)
         if name not in known:
             for op, own in self.running.items():
                 if any(matches_name(p, name) for p in self._config(op).patterns):
@@ -256,6 +299,7 @@ class Database:
             if any(matches_name(p, name) for p in self._config(op).patterns):
                 own.input_closed(name)
         self.tables.drop(name)
+        self.handles.discard(name)
         shutil.rmtree(os.path.join(self.root, "tables", name), ignore_errors=True)
 
     def state(self, name: str, schema: str) -> State:
@@ -338,7 +382,7 @@ class Database:
 
     def _changes(self, table: str, rows: DataFrame) -> DataFrame:
         """The batch's part of the table's change feed: only the keys that it touches are resolved."""
-        log = Table(self, table).events()
+        log = Table(self, table).plain()
         touched = log.join(rows.select("pk").distinct(), "pk", "left_semi")
         feed = resolve.change_feed(touched, ["value"]).join(rows.select("offset"), "offset", "left_semi")
         return feed.withColumn("table_id", F.lit(table))
@@ -361,6 +405,16 @@ class Database:
     def contains_operator(self, name: str) -> bool:
         return name in self.operators.read()
 
+    def is_table_open(self, name: str) -> bool:
+        return name in self.handles
+
+    def list_open_tables(self) -> list[str]:
+        return sorted(self.handles)
+
+    def close_table(self, name: str) -> None:
+        """No handle of it is held any more; its log stays."""
+        self.handles.discard(name)
+
     def is_operator_open(self, name: str) -> bool:
         return name in self.running
 
@@ -398,6 +452,20 @@ class Database:
         found = ((k.partition(":"), v) for k, v in sorted(self.timers.read().items()))
         return [(int(k[0]), v) for k, v in found if k[2] == name and int(k[0]) <= self.now()]
 
+    def next_due(self) -> int | None:
+        """When the next timer of a loaded operator is due that is not due yet."""
+        later = ((int(k[:20]), k.partition(":")[2]) for k in sorted(self.timers.read()))
+        return next((at for at, name in later if at > self.now() and name in self.running), None)
+
+    def run_scheduler(self, until: Callable[[], bool], most_ms: int = 60_000) -> None:
+        """Runs all operators, then sleeps until the next timer is due, `most_ms` at most, again and again
+        until `until` says so, the database is closed or no operator is left."""
+        while self.open and self.running and not until():
+            self.run_all()
+            due = self.next_due()
+            if self.open and self.running and not until():
+                self.sleep(min(most_ms, most_ms if due is None else max(0, due - self.now())) / 1000)
+
     def _fire(self, name: str, own: Operator) -> str:
         for at, payload in self.due(name):
             if own.timer(payload) == FINISH:

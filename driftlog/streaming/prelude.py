@@ -46,7 +46,7 @@ class Merkle(Operator):
     def process(self, changes: DataFrame, batch: int) -> str:
         state = self.context.state(self.context.config.settings.get("state", self.context.name + "_leaves"), LEAF)
         own = last_changes(changes)
-        fresh = own.select("table_id", "pk", F.sha2(F.concat_ws("|", "pk", F.coalesce("after", F.lit("")), F.col("tombstone").cast("string"), "H"), 256).alias("hash"))
+        fresh = own.select("table_id", "pk", F.sha2(merkle.told([F.col("pk"), F.col("after"), F.col("tombstone"), F.col("H")]), 256).alias("hash"))
         state.write(state.read().join(own.select("table_id", "pk"), ["table_id", "pk"], "left_anti").unionByName(fresh))
         return CONTINUE
 
@@ -55,10 +55,10 @@ class Merkle(Operator):
 
 
 def root_of(leaves: DataFrame, buckets: int = 1 << 20) -> str | None:
-    name = F.concat_ws("\x00", "table_id", "pk")
+    name = merkle.told([F.col("table_id"), F.col("pk")])
     own = leaves.groupBy(F.pmod(F.xxhash64(name), F.lit(buckets)).alias("key")).agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), "hash"))).alias("own"))
     nodes = own.select("key", F.sha2(F.array_join(F.transform("own", lambda x: F.concat(x["name"], x["hash"])), ""), 256).alias("hash"))
-    row = merkle.root(nodes, 2).first()
+    row = merkle.root(nodes).first()
     return row.hash if row else None
 
 
@@ -66,7 +66,7 @@ def root_of(leaves: DataFrame, buckets: int = 1 << 20) -> str | None:
 class Script(Operator):
     """Runs a SQL script over the batch (view `changes`); its first value is the directive.
 
-    null, false and "continue" go on; true and "finish" end. Other words are errors.
+    null, false, "continue" and "Continue" go on; true, "finish" and "Finish" end. Other words are errors.
     """
 
     def process(self, changes: DataFrame, batch: int) -> str:
@@ -83,10 +83,10 @@ def directive(value: object) -> str:
         return CONTINUE
     if value is True:
         return FINISH
-    word = str(value).lower()
-    if word not in (CONTINUE, FINISH):
+    known = {w: d for d in (CONTINUE, FINISH) for w in (d, d.capitalize())}
+    if value not in known:
         raise ValueError(f"unknown directive {value}")
-    return word
+    return known[value]
 
 
 @register("indexer")

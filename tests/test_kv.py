@@ -59,3 +59,24 @@ def test_bounded_states_take_known_keys_only_when_full(base, updates):
     assert kv.put_bounded(base, updates.filter("k = 4"), "k", 6).count() == 6
     with pytest.raises(kv.CapacityExceeded):
         kv.put_bounded(base, updates, "k", 6)
+
+
+def test_updates_leave_other_rows_alone(spark):
+    t = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (4, None)], "k long, v string")
+    want = spark.createDataFrame([(1,), (3,), (4,), (5,)], "k long")
+    got = kv.update(t, want, "k", "v", lambda old: F.when(old == "a", "A").when(old.isNull(), F.lit(None)))
+    assert {(r.k, r.v) for r in got.collect()} == {(1, "A"), (2, None)}
+
+
+def test_of_several_new_rows_the_first_is_put(spark):
+    t = spark.createDataFrame([(1, "a", 0)], "k long, v string, at long")
+    u = spark.createDataFrame([(1, "x", 1), (2, "late", 9), (2, "early", 3), (2, "later", 12)], "k long, v string, at long")
+    assert {(r.k, r.v) for r in kv.put_if_absent(t, u, "k", "at").collect()} == {(1, "a"), (2, "early")}
+    assert {(r.k, r.v) for r in kv.put_if_absent(t, u, "k").collect()} == {(1, "a"), (2, "early")}
+
+
+def test_fragmentation_and_triggers(spark):
+    log = spark.createDataFrame([(1, 0, False), (1, 1, False), (2, 2, False), (2, 3, True)], "k long, offset long, gone boolean")
+    told = kv.fragmentation(log, "k", F.col("gone"))
+    assert tuple(told.first()) == (4, 1, 0.75) and kv.fragmentation(log.limit(0), "k").first().ratio == 0
+    assert kv.needs_compaction(told, 0.75) and not kv.needs_compaction(told, 0.8) and kv.needs_compaction(told, 0) and not kv.needs_compaction(told, 1)

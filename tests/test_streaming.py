@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from driftlog.operators import fulltext, merkle
+from driftlog.operators import fold, fulltext, merkle, resolve
 from driftlog.sources.topics import Topic
 from driftlog.streaming import engine, prelude
 from driftlog.streaming.engine import ACTIVE, FAILED, FINISHED, Database, NotConnected, Operator, OperatorConfig, TableConfig, register
@@ -192,3 +193,71 @@ def test_merkle_levels(spark):
 
 def test_registry_knows_the_prelude():
     assert {"full_text", "merkle", "script", "indexer", "archiver"} <= set(engine.REGISTRY)
+
+
+def test_sync_flags_keep_values_in_rows_and_snapshots(spark, db, tmp_path):
+    t = db.table("users", TableConfig(sync=True))
+    own = rows(spark, ("a", "v1", 1), ("b", "w", 1)).withColumn("sync", F.lit(None).cast("boolean"))
+    flag = spark.createDataFrame([("a", "set_sync", None, h(2), "0" * 16, False)], SHAPE + ", sync boolean")
+    t.insert(own)
+    t.insert(flag)
+    assert {(r.pk, r.value, r.sync, r.H) for r in t.rows().collect()} == {("a", "v1", False, h(2)), ("b", "w", None, h(1))}
+    t.snapshot(str(tmp_path / "snap"))
+    again = resolve.replay(spark.read.parquet(str(tmp_path / "snap")), t.plain().limit(0), ["value"])
+    assert {(r.pk, r.value, r.sync, r.H) for r in again.collect()} == {("a", "v1", False, h(2)), ("b", "w", None, h(1))}
+
+
+def test_tables_hold_all_types_and_report_what_they_refuse(spark, db):
+    t = db.table("carts", TableConfig(sync=True))
+    made = [("a", ["Record:n"], "type", "Counter", '{"do":"increment","n":2}', 1), ("a", ["Record:n"], "type", "Counter", '{"do":"decrement","n":5}', 2), ("a", None, "jump", None, None, 3), ("b", None, "replace", None, 'say "hi"', 1)]
+    t.insert(spark.createDataFrame([(pk, p, op, tag, v, h(ms), "0" * 16) for pk, p, op, tag, v, ms in made], "pk string, path array<string>, op string, tag string, value string, H string, dev string"))
+    cells = {r.pk: r for r in fold.states(t.cells()).collect()}
+    assert cells["a"].value.count("[2,5]") == 1 and cells["b"].value == '"say \\"hi\\""'
+    assert [(r.pk, r.offset) for r in t.dead_letters().collect()] == [("a", 2)]
+
+
+def test_logs_compact_when_they_are_fragmented(spark, db):
+    t = db.table("users", TableConfig(sync=True))
+    for n in range(3):
+        t.insert(rows(spark, ("a", f"v{n}", n + 1)))
+    assert not t.maybe_compact(0.9) and t.maybe_compact(0.5) and t.rows().first().value == "v2"
+
+
+def test_the_scheduler_sleeps_until_timers_are_due(spark, db):
+    db.table("t")
+    fired = []
+
+    @register("sleeper")
+    class Sleeper(Operator):
+        def timer(self, payload):
+            fired.append((payload, db.time.ms))
+            return engine.FINISH if payload == "last" else engine.CONTINUE
+
+    def sleep(s):
+        db.time.slept.append(round(s * 1000))
+        db.time.ms += max(1, round(s * 1000))
+
+    db.sleep = sleep
+    db.operator("s", OperatorConfig("sleeper"))
+    db.register_timer("s", 1400, "first")
+    db.register_timer("s", 99_000, "last")
+    db.register_timer("nobody", 1100, "x")
+    assert db.next_due() == 1400 and db.is_table_open("t") and db.list_open_tables() == ["t"]
+    db.run_scheduler(lambda: False)
+    assert fired == [("first", 1400), ("last", 99_000)] and db.time.slept == [400, 60_000, 37_600] and db.phase("s") == FINISHED
+    db.close_table("t")
+    assert not db.is_table_open("t") and db.contains_table("t")
+
+
+def test_hash_tree_leaves_are_injective_and_roots_single(spark):
+    told = lambda *own: [r.hash for r in merkle.leaves(spark.createDataFrame([(1, *x) for x in own], "k long, a string, b string"), "k", [F.col("a"), F.col("b")]).collect()]
+    assert len(set(told(("a|b", "c"), ("a", "b|c"), (None, "x"), ("", "x"), ("-", "x"), ("1:a", "x")))) == 6
+    wide = spark.createDataFrame([(k, f"{k}") for k in (-5, 0, 7, 1 << 40, (1 << 62) + 3)], "key long, hash string")
+    assert merkle.root(wide).count() == 1 and merkle.root(wide.limit(0)).count() == 0
+
+
+def test_directives_have_four_spellings():
+    assert [prelude.directive(x) for x in (None, False, "continue", "Continue", True, "finish", "Finish")] == ["continue"] * 4 + ["finish"] * 3
+    for word in ("FINISH", "stop", "cOntinue"):
+        with pytest.raises(ValueError):
+            prelude.directive(word)
