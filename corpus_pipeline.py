@@ -32,10 +32,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = near_dedup.near_duplicates(docs)
     dropped = materialise(found.filter("not kept").select("doc_id").distinct(), "dropped")
     kept = docs.join(broadcast_if_small(dropped), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    repeated = materialise(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    # of the rows of one id the first by text, so that a stage that runs again keeps the same
+    rest = [c for c in docs.columns if c != "doc_id"]
+    first = F.min_by(F.struct(*rest), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*rest))).alias("row")
+    several = kept.join(broadcast_if_small(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(first)
+    one = several.select("doc_id", *(F.col(f"row.{c}").alias(c) for c in rest)).select(*docs.columns)
+    return kept.join(broadcast_if_small(repeated), "doc_id", "left_anti").unionByName(one)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
