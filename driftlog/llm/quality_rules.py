@@ -27,6 +27,8 @@ from driftlog.llm.labelled import sample_ids
 
 BUCKETS, TRUSTED, PRIOR, THRESHOLD = 1 << 16, 10_000, 10, -0.09
 WIDTH, FEWEST, REPEATED = 5, 10, 20
+#: Bits of places that may stand below a hash.
+PACKED = 13
 SYMBOLS = "#*$%&|<>"
 
 
@@ -66,8 +68,11 @@ def repeated_words(d: DataFrame) -> DataFrame:
     d = d.withColumn("_bits", F.length(F.bin(n.cast("long"))).cast("int"))
     # hash in the high bits, place in the low ones: equal windows lie side by side once sorted
     placed = F.transform(w, lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("long")))
-    d = d.withColumn("_sorted", F.when(twice, F.sort_array(placed)))
-    s = F.col("_sorted")
+    d = d.withColumn("_sorted", F.when(twice & (bits <= PACKED), F.sort_array(placed)))
+    # longer texts leave the hash too few bits beside the place: both stand apart there
+    apart = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
+    d = d.withColumn("_apart", F.when(twice & (bits > PACKED), apart))
+    s, a = F.col("_sorted"), F.col("_apart")
 
     def top(x: Column) -> Column:
         return F.call_function("shiftright", x, bits)
@@ -76,8 +81,10 @@ def repeated_words(d: DataFrame) -> DataFrame:
         s,
         lambda x, i: (top(x) == top(F.get(s, i - 1))) | (top(x) == top(F.get(s, i + 1))),
     )
+    again_apart = F.filter(a, lambda x, i: (x["h"] == F.get(a, i - 1)["h"]) | (x["h"] == F.get(a, i + 1)["h"]))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    d = d.withColumn("_places", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(mask))))
+    places = F.coalesce(F.transform(again, lambda x: x.bitwiseAND(mask)), F.transform(again_apart, lambda x: x["i"]))
+    d = d.withColumn("_places", F.sort_array(places))
     p = F.col("_places")
     covered = F.aggregate(
         F.transform(p, lambda x, i: F.least(F.lit(WIDTH).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(WIDTH).cast("long")))),

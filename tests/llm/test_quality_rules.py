@@ -1,4 +1,9 @@
+import math
 import random
+import zlib
+from collections import Counter
+
+import xxhash
 
 from driftlog.llm import quality_rules
 from tests.llm.helpers import WORD, docs, prose
@@ -39,6 +44,35 @@ def test_ratio_parts_junk_from_what_is_trusted(spark):
     assert all(abs(again[r.doc_id] - r.ratio) < 1e-9 for r in got)
 
 
+def bins(text):
+    """Brute force: bins of all words and of all neighbours, by the public hash with Spark's seed."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text or "")]
+    pairs = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(h, h[1:])]
+    return [signed(x) % quality_rules.BUCKETS for x in h + pairs]
+
+
+def test_ratio_equals_brute_force(spark):
+    texts = [prose(k, 30 + k) for k in range(60)] + ["one", "", None, prose(3, 33), "é 😀 x"]
+    trusted = {i for i in range(40) if i % 3 and zlib.crc32(str(i).encode()) % 5}
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    good, all_ = Counter(b for i in trusted for b in bins(texts[i])), Counter(b for t in texts for b in bins(t))
+    n, m, prior = sum(good.values()), sum(all_.values()), quality_rules.PRIOR
+    weight = {b: math.log((good[b] + prior) / (n * c / m + prior)) for b, c in all_.items()}
+    for r in quality_rules.judge(docs(spark, texts), labels).collect():
+        own = bins(texts[r.doc_id])
+        want = sum(weight[b] for b in own) / len(own) if own else 0.0
+        assert abs(r.ratio - want) < 1e-6 and r.kept == (not r.base_failed and r.ratio >= quality_rules.THRESHOLD)
+
+
+def test_long_texts_and_repeated_rows(spark):
+    """Places beyond those that stand beside the hash; rows that repeat are judged each."""
+    texts = [prose(1, 9000) + " " + prose(2, 60) + " x " + prose(2, 60), prose(4, 20000), "a b c d e f " * 3000]
+    d = docs(spark, texts)
+    got = quality_rules.judge(d.unionByName(d), None).collect()
+    assert len(got) == 6 and all((x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == base(texts[x.doc_id]) for x in got)
+
+
 def test_defined_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.judge(docs(spark, []), empty).count() == 0
