@@ -180,13 +180,7 @@ def stream_changes(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     name = f"stream_{uuid.uuid4().hex}"
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    q = (
-        rows.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
-        .writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", _folder(spark, name)).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.table(name)
+    return _drained(spark, rows.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last")), name)
 
 
 def stream_resolve(spark, sf_dir):
@@ -200,13 +194,22 @@ def stream_resolve(spark, sf_dir):
     o = F.col("event_id")
     h = clock(F.unix_millis(F.col("ts").cast("timestamp")) + (o * 2654435761 % DAY_SPREAD) - 432_000_000, o % 65536, o % 4)
     w = e.filter(F.col("event_type").isin("signup", "error")).select(F.col("user_id").alias("pk"), h.alias("H"), (-o).alias("first"), (F.col("event_type") == "error").alias("tombstone"))
-    q = (
-        w.groupBy("pk").agg(F.max(F.struct("H", "first", "tombstone")).alias("x")).select("pk", "x.tombstone", "x.H")
-        .writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", _folder(spark, name)).trigger(availableNow=True).start()
-    )
+    return _drained(spark, w.groupBy("pk").agg(F.max(F.struct("H", "first", "tombstone")).alias("x")).select("pk", "x.tombstone", "x.H"), name)
+
+
+def _drained(spark: SparkSession, rows, name: str):
+    """The result of a streaming aggregation over all that has arrived: each batch writes it to a folder
+    of its own, the last one counts."""
+    at = _folder(spark, name)
+    last: list[int] = []
+
+    def keep(result, batch: int) -> None:
+        result.write.mode("overwrite").parquet(f"{at}/result-{batch}")
+        last.append(batch)
+
+    q = rows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(rows.schema).parquet(f"{at}/result-{last[-1]}") if last else spark.createDataFrame([], rows.schema)
 
 
 def stream_fulltext(spark, sf_dir):

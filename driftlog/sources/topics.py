@@ -14,13 +14,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEGMENT = 1000
+#: Segments that are put in order at a time.
+RANGE = 4096
 
 
 def segments(log: DataFrame, width: int = SEGMENT) -> DataFrame:
     """segment, base, records, next_base: the end of a segment is the next one's base."""
     own = log.groupBy(F.floor(F.col("offset") / width).cast("long").alias("segment")).agg(F.min("offset").alias("base"), F.count("*").alias("records"))
-    # one row for each segment: the list of segments, not of records, is put in order
-    return own.withColumn("next_base", F.lead("base").over(Window.orderBy("segment")))
+    # segments are put in order in ranges of RANGE; only the ranges' first bases meet in one place
+    own = own.withColumn("_range", F.floor(F.col("segment") / RANGE))
+    within = F.lead("base").over(Window.partitionBy("_range").orderBy("segment"))
+    ranges = own.groupBy("_range").agg(F.min("base").alias("_first"))
+    ranges = ranges.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_next"))
+    return own.withColumn("next_base", within).join(ranges, "_range").withColumn("next_base", F.coalesce("next_base", "_next")).drop("_range", "_next")
 
 
 def stats(log: DataFrame) -> DataFrame:

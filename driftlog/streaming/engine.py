@@ -221,15 +221,19 @@ class Context:
         self.database.cancel_timer(self.name, fire_at_ms)
 
 
+#: Batches of changes that a state keeps beside its base before it is written anew.
+DELTAS = 16
+
+
 class State:
-    """A private keyed state: versions on storage and a pointer to the newest."""
+    """A private keyed state on storage: a base, the batches of changes since, and a pointer to both."""
 
     def __init__(self, database: Database, name: str):
         self.database, self.name = database, name
         self.path = os.path.join(database.root, "states", name)
 
-    def _version(self) -> int:
-        return self.database.states.read()[self.name]["version"]
+    def _entry(self) -> dict:
+        return {"base": 0, "deltas": [], "keys": []} | self.database.states.read()[self.name]
 
     @property
     def schema(self) -> str:
@@ -238,16 +242,38 @@ class State:
     def read(self) -> DataFrame:
         if not self.database.open:
             raise NotConnected(self.name)
-        v = self._version()
-        spark = self.database.spark
-        return spark.read.schema(self.schema).parquet(f"{self.path}/v{v}") if v else spark.createDataFrame([], self.schema)
+        own, spark = self._entry(), self.database.spark
+        base = spark.read.schema(self.schema).parquet(f"{self.path}/v{own['base']}") if own["base"] else spark.createDataFrame([], self.schema)
+        if not own["deltas"]:
+            return base
+        changes = spark.read.schema(f"{self.schema}, _turn long, _gone boolean").parquet(*(f"{self.path}/v{v}" for v in own["deltas"]))
+        newest = changes.groupBy(*own["keys"]).agg(F.max("_turn").alias("_turn"))
+        fresh = changes.join(newest, [*own["keys"], "_turn"], "left_semi").filter("not _gone").drop("_turn", "_gone")
+        return base.join(newest, own["keys"], "left_anti").unionByName(fresh)
 
     def write(self, rows: DataFrame) -> None:
-        """The new version stands when the pointer moves; the one before is kept for readers."""
-        v = self._version() + 1
+        """The new version stands when the pointer moves; what it stands for is kept for readers until the next."""
+        own = self._entry()
+        v = own["version"] + 1
         rows.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        self.database.states.put(self.name, {"schema": self.schema, "version": v})
-        shutil.rmtree(f"{self.path}/v{v - 2}", ignore_errors=True)
+        self.database.states.put(self.name, {"schema": self.schema, "version": v, "base": v, "deltas": [], "keys": [], "old": [own["base"], *own["deltas"]]})
+        for old in own.get("old", ()):
+            shutil.rmtree(f"{self.path}/v{old}", ignore_errors=True)
+
+    def replace(self, keys: list[str], touched: DataFrame, rows: DataFrame) -> None:
+        """All rows of the touched keys are these rows now. Only they are written; after DELTAS such
+        batches the whole state is written anew."""
+        own = self._entry()
+        if own["deltas"] and own["keys"] != keys:
+            self.write(self.read())
+            own = self._entry()
+        v = own["version"] + 1
+        gone = touched.select(*keys).distinct().join(rows, keys, "left_anti")
+        both = rows.withColumn("_gone", F.lit(False)).unionByName(gone.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
+        both.withColumn("_turn", F.lit(v).cast("long")).write.mode("overwrite").parquet(f"{self.path}/v{v}")
+        self.database.states.put(self.name, own | {"version": v, "deltas": [*own["deltas"], v], "keys": keys})
+        if len(own["deltas"]) + 1 >= DELTAS:
+            self.write(self.read())
 
 
 REGISTRY: dict[str, type[Operator]] = {}
@@ -307,7 +333,7 @@ class Database:
         if name in known and known[name]["schema"] != schema:
             raise ValueError(f"state {name} has another type")
         if name not in known:
-            self.states.put(name, {"schema": schema, "version": 0})
+            self.states.put(name, {"schema": schema, "version": 0, "base": 0, "deltas": [], "keys": []})
         return State(self, name)
 
     # operators

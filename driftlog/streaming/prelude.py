@@ -29,7 +29,7 @@ class FullText(Operator):
         own = last_changes(changes)
         touched = own.select("table_id", "pk")
         fresh = own.select(F.explode(fulltext.tokens(F.col("after"), least)).alias("token"), "table_id", "pk")
-        state.write(state.read().join(touched, ["table_id", "pk"], "left_anti").unionByName(fresh))
+        state.replace(["table_id", "pk"], touched, fresh)
         return CONTINUE
 
 
@@ -47,7 +47,7 @@ class Merkle(Operator):
         state = self.context.state(self.context.config.settings.get("state", self.context.name + "_leaves"), LEAF)
         own = last_changes(changes)
         fresh = own.select("table_id", "pk", F.sha2(merkle.told([F.col("pk"), F.col("after"), F.col("tombstone"), F.col("H")]), 256).alias("hash"))
-        state.write(state.read().join(own.select("table_id", "pk"), ["table_id", "pk"], "left_anti").unionByName(fresh))
+        state.replace(["table_id", "pk"], own, fresh)
         return CONTINUE
 
     def root(self) -> str | None:
