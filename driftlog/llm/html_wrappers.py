@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from driftlog.llm.common import broadcast_if_small, materialise, small_batches, table
 
 #: Rows of a host that one task aligns; nesting that the tree follows; pages from which text is template.
-SHARE, DEEP, ENOUGH = 20_000, 100, 4
+SHARE, DEEP, ENOUGH = 2000, 100, 4
 
 #: Elements that end a block of text, and those without content.
 BLOCKS = set(
