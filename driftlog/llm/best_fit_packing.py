@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import kept, materialise, small_batches, table
+from driftlog.llm.common import by_size, kept, materialise, small_batches, table
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers; twice as many at most.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers (twice as many at most), and characters that it splits at once.
+REMEMBERED, AT_ONCE = 250_000, 500_000
 #: Coarse classes of length, and documents in an enumerated pattern at most.
 CLASSES, FEW = 64, 4
 
@@ -263,7 +263,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
         for b in batches:
             rows = []
             texts = [t or "" for t in b.column("text").to_pylist()]
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.ids(texts), strict=True):
+            encoded = (ids for own in by_size(texts, AT_ONCE) for ids in encoder.ids(texts[own]))
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encoded, strict=True):
                 ids += end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
