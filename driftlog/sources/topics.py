@@ -1,18 +1,16 @@
 """Topics: append-only logs of records with offsets, and named consumers that commit theirs.
 
 A topic is a folder of Parquet files; the records' offset column gives the order. Segments are ranges
-of offsets. Consumers' committed offsets live in a small JSON file that is replaced as a whole.
+of offsets. Consumers' committed offsets live in a small catalog beside the records.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftlog.sources.storage import Catalog, Storage
+
 SEGMENT = 1000
 #: Segments that are put in order at a time.
 RANGE = 4096
@@ -53,14 +51,14 @@ class Topic:
     """A topic on storage. Appends give consecutive offsets; a new consumer starts at the tail."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-        self.records = os.path.join(path, "records")
-        self.cursors = os.path.join(path, "consumers.json")
-        os.makedirs(path, exist_ok=True)
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.storage = Storage(spark)
+        self.records = f"{self.path}/records"
+        self.cursors = Catalog(self.storage, f"{self.path}/consumers")
         self.active: set[str] = set()
 
     def read(self) -> DataFrame:
-        if not os.path.isdir(self.records):
+        if not self.storage.exists(self.records):
             return self.spark.createDataFrame([], f"offset long, {self.schema}")
         return self.spark.read.schema(f"offset long, {self.schema}").parquet(self.records)
 
@@ -86,38 +84,26 @@ class Topic:
         numbered.write.mode("append").parquet(self.records)
         return first
 
-    def _cursors(self) -> dict[str, int]:
-        if not os.path.exists(self.cursors):
-            return {}
-        with open(self.cursors) as f:
-            return json.load(f)
-
-    def _save(self, cursors: dict[str, int]) -> None:
-        with open(self.cursors + ".new", "w") as f:
-            json.dump(cursors, f)
-        os.replace(self.cursors + ".new", self.cursors)
-
     def consumer(self, name: str) -> Consumer:
         if name in self.active:
             raise ValueError(f"consumer {name} is already open")
-        cursors = self._cursors()
-        if name not in cursors:
-            self._save(cursors | {name: self.next_offset()})
+        if name not in self.cursors.read():
+            self.cursors.put(name, self.next_offset())
         self.active.add(name)
         return Consumer(self, name)
 
     def compact(self, width: int = SEGMENT) -> int:
         """Drops whole segments that every consumer has committed; returns how many records."""
-        cursors = self._cursors()
+        cursors = self.cursors.read()
         if not cursors:
             return 0
         before = self.read().count()
         kept = retained(self.read(), min(cursors.values()), width)
         kept.write.mode("overwrite").parquet(self.records + ".new")
         after = self.spark.read.parquet(self.records + ".new").count()
-        os.rename(self.records, self.records + ".old")
-        os.rename(self.records + ".new", self.records)
-        shutil.rmtree(self.records + ".old")
+        self.storage.move(self.records, self.records + ".old")
+        self.storage.move(self.records + ".new", self.records)
+        self.storage.drop(self.records + ".old")
         return before - after
 
 
@@ -126,7 +112,7 @@ class Consumer:
 
     def __init__(self, topic: Topic, name: str):
         self.topic, self.name = topic, name
-        self.position = topic._cursors()[name]
+        self.position = topic.cursors.read()[name]
 
     def poll(self, most: int | None = None) -> DataFrame:
         """Records from the position on, in order; the position moves past them."""
@@ -139,10 +125,10 @@ class Consumer:
         return got
 
     def commit(self) -> None:
-        self.topic._save(self.topic._cursors() | {self.name: self.position})
+        self.topic.cursors.put(self.name, self.position)
 
     def reset(self) -> None:
-        self.position = self.topic._cursors()[self.name]
+        self.position = self.topic.cursors.read()[self.name]
 
     def seek(self, offset: int) -> None:
         self.position = offset
@@ -151,7 +137,5 @@ class Consumer:
         self.topic.active.discard(self.name)
 
     def delete(self) -> None:
-        cursors = self.topic._cursors()
-        cursors.pop(self.name, None)
-        self.topic._save(cursors)
+        self.topic.cursors.drop(self.name)
         self.close()

@@ -4,14 +4,11 @@ Tables are append-only Parquet logs; what they resolve to is a view. Operators a
 queries over the logs of all tables that their patterns match: each micro-batch's changes go to the
 operator's `process`, and the checkpoint commits only when it returns, so a batch that fails is
 delivered again (handlers must be idempotent by batch). Phases, configurations and timers are kept
-in JSON catalogs that are replaced as a whole.
+in JSON catalogs of numbered versions. All of it lies on the storage that the root's path names.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -23,6 +20,7 @@ from driftlog.functions.globs import matches_name
 from driftlog.functions.retry import RetryConfig, backoff_ms
 from driftlog.operators import fold, kv, resolve
 from driftlog.sources import topics
+from driftlog.sources.storage import Catalog, Storage
 
 #: value is a row's plain value or, with a tag, the JSON that operators.fold takes as arg.
 EVENT = "offset long, pk string, path array<string>, op string, tag string, value string, sync boolean, H string, dev string"
@@ -50,32 +48,6 @@ class OperatorConfig:
     settings: dict = field(default_factory=dict)
 
 
-class Catalog:
-    """Names to JSON values, in one file."""
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def read(self) -> dict:
-        if not os.path.exists(self.path):
-            return {}
-        with open(self.path) as f:
-            return json.load(f)
-
-    def put(self, name: str, value: object) -> None:
-        self._write(self.read() | {name: value})
-
-    def drop(self, name: str) -> None:
-        own = self.read()
-        own.pop(name, None)
-        self._write(own)
-
-    def _write(self, own: dict) -> None:
-        with open(self.path + ".new", "w") as f:
-            json.dump(own, f, sort_keys=True)
-        os.replace(self.path + ".new", self.path)
-
-
 class Table:
     """A handle on one table's log."""
 
@@ -89,7 +61,7 @@ class Table:
 
     @property
     def path(self) -> str:
-        return os.path.join(self._open().root, "tables", self.name)
+        return f"{self._open().root}/tables/{self.name}"
 
     @property
     def config(self) -> TableConfig:
@@ -171,9 +143,9 @@ class Table:
         fresh = self.path + ".compact"
         log.repartitionByRange("offset").sortWithinPartitions("offset").write.mode("overwrite").parquet(fresh)
         old = self.path + ".old"
-        os.rename(self.path, old)
-        os.rename(fresh, self.path)
-        shutil.rmtree(old)
+        db.storage.move(self.path, old)
+        db.storage.move(fresh, self.path)
+        db.storage.drop(old)
 
     def snapshot(self, path: str) -> None:
         """The resolved rows in order of the key, as a version on its own."""
@@ -230,7 +202,7 @@ class State:
 
     def __init__(self, database: Database, name: str):
         self.database, self.name = database, name
-        self.path = os.path.join(database.root, "states", name)
+        self.path = f"{database.root}/states/{name}"
 
     def _entry(self) -> dict:
         return {"base": 0, "deltas": [], "keys": []} | self.database.states.read()[self.name]
@@ -258,7 +230,7 @@ class State:
         rows.write.mode("overwrite").parquet(f"{self.path}/v{v}")
         self.database.states.put(self.name, {"schema": self.schema, "version": v, "base": v, "deltas": [], "keys": [], "old": [own["base"], *own["deltas"]]})
         for old in own.get("old", ()):
-            shutil.rmtree(f"{self.path}/v{old}", ignore_errors=True)
+            self.database.storage.drop(f"{self.path}/v{old}")
 
     def replace(self, keys: list[str], touched: DataFrame, rows: DataFrame) -> None:
         """All rows of the touched keys are these rows now. Only they are written; after DELTAS such
@@ -291,11 +263,12 @@ def register(kind: str) -> Callable[[type[Operator]], type[Operator]]:
 
 class Database:
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], int] | None = None, sleep: Callable[[float], None] = time.sleep):
-        self.spark, self.root, self.sleep = spark, root, sleep
+        self.spark, self.root, self.sleep = spark, root.rstrip("/"), sleep
+        self.storage = Storage(spark)
         self.now = clock or (lambda: int(time.time() * 1000))
         for d in ("tables", "states", "checkpoints"):
-            os.makedirs(os.path.join(root, d), exist_ok=True)
-        self.tables, self.states, self.operators, self.timers = (Catalog(os.path.join(root, f"{n}.json")) for n in ("tables", "states", "operators", "timers"))
+            self.storage.make(f"{self.root}/{d}")
+        self.tables, self.states, self.operators, self.timers = (Catalog(self.storage, f"{self.root}/catalog/{n}") for n in ("tables", "states", "operators", "timers"))
         self.open = True
         self.running: dict[str, Operator] = {}
         self.handles: set[str] = set()
@@ -312,7 +285,7 @@ class Database:
         known = self.tables.read()
         if name not in known or (config and asdict(config) != known[name]):
             self.tables.put(name, asdict(config or TableConfig()))
-        os.makedirs(os.path.join(self.root, "tables", name), exist_ok=True)
+        self.storage.make(f"{self.root}/tables/{name}")
         self.handles.add(name)
         if name not in known:
             for op, own in self.running.items():
@@ -326,7 +299,7 @@ class Database:
                 own.input_closed(name)
         self.tables.drop(name)
         self.handles.discard(name)
-        shutil.rmtree(os.path.join(self.root, "tables", name), ignore_errors=True)
+        self.storage.drop(f"{self.root}/tables/{name}")
 
     def state(self, name: str, schema: str) -> State:
         known = self.states.read()
@@ -388,7 +361,7 @@ class Database:
         """One query for each input, to the end of what has arrived."""
         said = CONTINUE
         for table in self.inputs(name):
-            if not any(f.endswith(".parquet") for f in os.listdir(os.path.join(self.root, "tables", table))):
+            if not any(f.endswith(".parquet") for f in self.storage.names(f"{self.root}/tables/{table}")):
                 continue
             answers: list[str] = []
 
@@ -397,8 +370,8 @@ class Database:
 
             stream = (
                 self.spark.readStream.schema(EVENT).option("maxFilesPerTrigger", config.poll_files)
-                .parquet(os.path.join(self.root, "tables", table)).writeStream.foreachBatch(each)
-                .option("checkpointLocation", os.path.join(self.root, "checkpoints", name, table))
+                .parquet(f"{self.root}/tables/{table}").writeStream.foreachBatch(each)
+                .option("checkpointLocation", f"{self.root}/checkpoints/{name}/{table}")
                 .trigger(availableNow=True).start()
             )
             stream.awaitTermination()
@@ -418,7 +391,7 @@ class Database:
         own = self.running.pop(name, None)
         if own is not None:
             own.finish()
-        shutil.rmtree(os.path.join(self.root, "checkpoints", name), ignore_errors=True)
+        self.storage.drop(f"{self.root}/checkpoints/{name}")
         for key in [k for k in self.timers.read() if k.partition(":")[2] == name]:
             self.timers.drop(key)
         self.operators.put(name, {"config": self.operators.read()[name]["config"], "phase": phase, "error": error})

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlog.operators import fold, fulltext, merkle, resolve
+from driftlog.sources.storage import Catalog, Storage
 from driftlog.sources.topics import Topic
 from driftlog.streaming import engine, prelude
 from driftlog.streaming.engine import ACTIVE, FAILED, FINISHED, Database, NotConnected, Operator, OperatorConfig, TableConfig, register
@@ -169,7 +170,7 @@ def test_topics_register_at_tail_reset_seek_and_compact(spark, tmp_path):
     c.seek(8)
     assert [r.v for r in c.poll().collect()] == [8]
     c.delete()
-    assert t._cursors() == {}
+    assert t.cursors.read() == {}
 
 
 def test_index_changes(spark):
@@ -261,3 +262,17 @@ def test_directives_have_four_spellings():
     for word in ("FINISH", "stop", "cOntinue"):
         with pytest.raises(ValueError):
             prelude.directive(word)
+
+
+def test_catalogs_keep_versions_and_settle_what_writers_left(spark, tmp_path):
+    at = Storage(spark)
+    a, b = Catalog(at, f"file://{tmp_path}/c"), Catalog(at, f"file://{tmp_path}/c")
+    assert a.read() == {} and at.names(f"{tmp_path}/none") == []
+    for n in range(6):
+        (a, b)[n % 2].put(f"k{n}", n)
+    assert a.read() == b.read() == {f"k{n}": n for n in range(6)} and len([x for x in at.names(a.path) if x.endswith(".json")]) == Catalog.KEPT
+    at.create(f"{a.path}/7.json", "{")  # a writer that has died
+    a.drop("k0")
+    at.create(f"{a.path}/8.json", '{"whole": 1}')  # another, before its mark
+    b.put("last", 2)
+    assert a.read() == {"whole": 1, "last": 2} and not at.create(f"{a.path}/9.json", "x")
