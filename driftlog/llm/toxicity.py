@@ -148,11 +148,11 @@ def _descend(at: list[np.ndarray], y: np.ndarray, n: int, epochs: int, shrink: f
         if not len(own := np.array([i for i in own if len(at[i])], np.int64)):
             continue
         sizes = np.array([len(at[i]) for i in own])
-        terms_, row = np.concatenate([at[i] for i in own]), np.repeat(np.arange(len(own)), sizes)
+        terms_, row = np.concatenate([at[i] for i in own]).astype(np.int32), np.repeat(np.arange(len(own), dtype=np.int32), sizes)
         order = np.argsort(terms_, kind="stable")
         terms_, row = terms_[order], row[order]
         first = np.flatnonzero(np.r_[True, terms_[1:] != terms_[:-1]])
-        batches.append((own, terms_, row, np.argsort(row, kind="stable"), np.cumsum(np.r_[0, sizes[:-1]]), first))
+        batches.append((own, terms_, row, np.argsort(row, kind="stable").astype(np.int32), np.cumsum(np.r_[0, sizes[:-1]]), first))
     # small samples go round more often
     for _ in range(max(epochs, -(-STEPS * BATCH // max(1, len(y))))):
         for b in rng.permutation(len(batches)):
@@ -200,7 +200,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     # at most 2 * SAMPLE rows of distinct terms come to the driver
     sample = labelled.sampled(docs, labels, "toxic", SAMPLE).select("doc_id", "label", "text").mapInArrow(told, "doc_id long, label int, terms array<long>").toArrow()
-    sample = sorted(zip(*(sample.column(c) for c in ("doc_id", "label")), sample.column("terms"), strict=True), key=lambda r: (r[0].as_py(), r[2].values.to_pylist()))
+    sample = sorted(zip(*(sample.column(c) for c in ("doc_id", "label")), sample.column("terms"), strict=True), key=lambda r: (r[0].as_py(), r[2].values.to_numpy().tobytes()))
     model = learn([r[2].values.to_numpy() for r in sample], np.array([float(r[1].as_py()) for r in sample]))
     new = {"score": "double", "predicted": "integer"}
     keep = [c for c in docs.columns if c.lower() not in new]
