@@ -37,6 +37,11 @@ def shown(h: Column) -> Column:
     return F.format_string("Hlc(%d:%d:%s)", ms_of(h), logical_of(h), device_of(h))
 
 
+def now_ms() -> Column:
+    """The query's own time in milliseconds."""
+    return F.unix_millis(F.current_timestamp())
+
+
 def beats(h: Column, other: Column) -> Column:
     """Strictly newer; anything beats no clock."""
     return h > F.coalesce(other, F.lit(ZERO))

@@ -355,6 +355,13 @@ def text_format_lww(spark, sf_dir):
     return f.groupBy("pk").agg(F.count(F.when(F.col("value") == "on", 1)).alias("bold"), F.count(F.when(F.col("value").isNull(), 1)).alias("plain"))
 
 
+def text_format_at(spark, sf_dir):
+    """What the tenth character wears after two formats."""
+    c = text_chars(spark, sf_dir)
+    shown = sequence.text_visible(c, _none(_char_deletes(c)))
+    return sequence.format_at(shown, sequence.text_format(text_formats(spark, sf_dir)), 9).select("pk", "attr", "value")
+
+
 def text_compact(spark, sf_dir):
     f = sequence.text_compact(sequence.text_format(text_formats(spark, sf_dir)), "0003")
     return f.groupBy("pk").agg(F.count("*").alias("kept"))
@@ -373,7 +380,7 @@ QUERIES = {
         counter_components, counter_value, counter_replica_merge, set_members, set_replica_merge, set_compact, orset_members, orset_observed_remove,
         orset_merge, orset_compact, mvregister_values, mvregister_merge, mvregister_compact, pq_live_order, pq_head, pq_pop_before_push, pq_merge,
         pq_compact, record_fields, record_merge, record_compact, list_order, list_head_inserts, list_with_deletes, list_merge, list_compact, list_placeholders,
-        list_equal_clocks, list_element_at, text_equal_clocks, text_id_at, text_compact_chars, text_render, text_delete, text_format_lww, text_compact, text_merge,
+        list_equal_clocks, list_element_at, text_equal_clocks, text_id_at, text_format_at, text_compact_chars, text_render, text_delete, text_format_lww, text_compact, text_merge,
     )
 }
 
@@ -416,6 +423,7 @@ SELECT pk, count(*) FILTER (turn%3=1 AND turn%2<>0) AS waiting, count(*) FILTER
     "list_equal_clocks": f"WITH {TURNS} SELECT pk, row_number() OVER (PARTITION BY pk ORDER BY turn) - 1 AS position, lpad(lower(to_hex(turn+1)),8,'0') AS id FROM t",
     "list_element_at": f"WITH {TURNS}, v AS (SELECT pk, turn, row_number() OVER (PARTITION BY pk ORDER BY turn) AS n FROM t WHERE turn%3<>1) SELECT pk, lpad(lower(to_hex(turn+1)),8,'0') AS id, turn FROM v WHERE n=2",
     "text_equal_clocks": f"WITH {ITEMS}, x AS (SELECT pk, text, unnest(range(n)) AS place FROM i) SELECT pk, string_agg(substr(text, place+1, 1), '' ORDER BY place) AS text FROM x WHERE place%5<>0 GROUP BY pk",
+    "text_format_at": f"WITH {ITEMS} SELECT pk, 'bold' AS attr, 'on' AS value FROM i WHERE 9 < n//2 AND NOT (9 >= n//4 AND 9 < 3*n//4)",
     "text_id_at": f"WITH {ITEMS} SELECT pk, CAST(12 AS BIGINT) AS typed FROM i WHERE n > 12",
     "text_compact_chars": f"WITH {ITEMS} SELECT pk, 100 * ((n-1)//100) + 1 AS chars FROM i",
     "text_delete": f"WITH {ITEMS}, x AS (SELECT pk, text, unnest(range(n)) AS place FROM i) SELECT pk, string_agg(substr(text, place+1, 1), '' ORDER BY place) AS text FROM x WHERE place%5<>0 GROUP BY pk",

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlog.functions import globs
+from driftlog.functions import clock, globs
 from driftlog.functions.retry import RetryConfig, backoff_ms
 from driftlog.operators import fulltext, merkle
 from driftlog.plans.resolution import WRITES, writes
@@ -22,6 +22,17 @@ def topic_segments(spark, sf_dir):
     return topics.segments(log(spark, sf_dir))
 
 
+def topic_segment_names(spark, sf_dir):
+    own = topics.segments(log(spark, sf_dir))
+    return own.select(topics.segment_name(F.col("base")).alias("name"), "records")
+
+
+def clock_parts(spark, sf_dir):
+    """What a clock is made of, and how it is shown."""
+    h = F.col("H")
+    return log(spark, sf_dir).select("offset", clock.ms_of(h).alias("ms"), clock.logical_of(h).alias("logical"), clock.device_of(h).alias("device"), clock.shown(h).alias("shown"))
+
+
 def topic_stats(spark, sf_dir):
     return topics.stats(log(spark, sf_dir))
 
@@ -188,11 +199,10 @@ def stream_resolve(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     name = f"stream_{uuid.uuid4().hex}"
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    from driftlog.functions.clock import clock
     from driftlog.sources.eventlog import DAY_SPREAD
 
     o = F.col("event_id")
-    h = clock(F.unix_millis(F.col("ts").cast("timestamp")) + (o * 2654435761 % DAY_SPREAD) - 432_000_000, o % 65536, o % 4)
+    h = clock.clock(F.unix_millis(F.col("ts").cast("timestamp")) + (o * 2654435761 % DAY_SPREAD) - 432_000_000, o % 65536, o % 4)
     w = e.filter(F.col("event_type").isin("signup", "error")).select(F.col("user_id").alias("pk"), h.alias("H"), (-o).alias("first"), (F.col("event_type") == "error").alias("tombstone"))
     return _drained(spark, w.groupBy("pk").agg(F.max(F.struct("H", "first", "tombstone")).alias("x")).select("pk", "x.tombstone", "x.H"), name)
 
@@ -236,7 +246,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        topic_segments, topic_stats, topic_read_from_offset, consumer_lag, topic_retention, subscription_glob_match, poll_round_robin, due_timers,
+        topic_segments, topic_segment_names, clock_parts, topic_stats, topic_read_from_offset, consumer_lag, topic_retention, subscription_glob_match, poll_round_robin, due_timers,
         retry_backoff_schedule, fulltext_index, fulltext_lookup, fulltext_remove, fulltext_incremental, indexer_stats, archiver_report, merkle_leaves, merkle_root,
         merkle_diff_replicas, scripted_filter, stream_changes, stream_resolve, stream_fulltext,
     )
@@ -244,6 +254,9 @@ QUERIES = {
 
 SQL = {
     "topic_segments": f"""WITH {LOG_SQL}, s AS (SELECT "offset"//1000 AS segment, min("offset") AS base, count(*) AS records FROM log GROUP BY 1) SELECT *, lead(base) OVER (ORDER BY segment) AS next_base FROM s""",
+    "topic_segment_names": f"""WITH {LOG_SQL} SELECT lpad(CAST(min("offset") AS VARCHAR), 20, '0') AS name, count(*) AS records FROM log GROUP BY "offset"//1000""",
+    "clock_parts": """WITH p AS (SELECT event_id, epoch_us(ts)//1000 + (event_id*2654435761 % 864000001) - 432000000 AS ms, event_id % 65536 AS logical, lpad(lower(to_hex(event_id % 4)), 16, '0') AS device FROM events)
+SELECT event_id AS "offset", ms, logical, device, 'Hlc(' || ms || ':' || logical || ':' || device || ')' AS shown FROM p""",
     "topic_stats": f"""WITH {LOG_SQL} SELECT count(*) AS records, min("offset") AS earliest, max("offset")+1 AS next_offset FROM log""",
     "topic_read_from_offset": f"""WITH {LOG_SQL} SELECT "offset", pk, H FROM log WHERE "offset" >= 4321""",
     "consumer_lag": f"""WITH {LOG_SQL}, {CONSUMERS} SELECT name, committed, (SELECT count(*) FROM log WHERE "offset">=committed) AS lag FROM c""",

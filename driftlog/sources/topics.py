@@ -6,7 +6,7 @@ of offsets. Consumers' committed offsets live in a small catalog beside the reco
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlog.sources.storage import Catalog, Storage
@@ -27,6 +27,11 @@ def segments(log: DataFrame, width: int = SEGMENT) -> DataFrame:
     return own.withColumn("next_base", within).join(ranges, "_range").withColumn("next_base", F.coalesce("next_base", "_next")).drop("_range", "_next")
 
 
+def segment_name(base: Column) -> Column:
+    """A segment's name: its first offset in twenty digits, so that names order like offsets."""
+    return F.lpad(base.cast("string"), 20, "0")
+
+
 def stats(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("records"), F.min("offset").alias("earliest"), (F.max("offset") + 1).alias("next_offset"))
 
