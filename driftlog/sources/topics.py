@@ -6,6 +6,8 @@ of offsets. Consumers' committed offsets live in a small catalog beside the reco
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,7 @@ class Topic:
         self.storage = Storage(spark)
         self.records = f"{self.path}/records"
         self.cursors = Catalog(self.storage, f"{self.path}/consumers")
+        self.offsets = Catalog(self.storage, f"{self.path}/offsets")
         self.active: set[str] = set()
 
     def read(self) -> DataFrame:
@@ -73,20 +76,34 @@ class Topic:
 
     def append(self, rows: DataFrame, order: str | None = None) -> int:
         """Writes rows in the given order and returns the first offset. Numbering takes counts by
-        partition, not one sorted pass over all rows."""
-        first = self.next_offset()
+        partition, not one sorted pass over all rows. Offsets are reserved in a catalog before they are
+        written, so that two writers never share any; a writer that dies leaves a gap."""
         if order is not None:
             rows = rows.orderBy(order)
         # places within partitions, then the partitions' first places: no global sort by row number
         marked = rows.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-        staged = self.path + "/staged"
+        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
         marked.write.mode("overwrite").parquet(staged)
         marked = self.spark.read.parquet(staged)
         counts = marked.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("low"))
         before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         firsts = counts.select("_part", "low", before.alias("before"))
+        first = self._reserve(marked.count())
         numbered = marked.join(firsts, "_part").select((F.col("_id") - F.col("low") + F.col("before") + first).alias("offset"), *rows.columns)
         numbered.write.mode("append").parquet(self.records)
+        self.storage.drop(staged)
+        return first
+
+    def _reserve(self, n: int) -> int:
+        """The first of n offsets that no one else gets."""
+        first = 0
+
+        def take(own: dict) -> dict:
+            nonlocal first
+            first = max(own.get("next", 0), self.next_offset())
+            return {"next": first + n}
+
+        self.offsets.change(take)
         return first
 
     def consumer(self, name: str) -> Consumer:
