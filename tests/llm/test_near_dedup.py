@@ -64,6 +64,23 @@ def test_defined_cases(spark):
     assert all(r.kept and r.component_id is None for r in rows if r.doc_id is None)
 
 
+def test_sets_of_one_hash_are_told_by_the_other(spark):
+    rows = spark.createDataFrame([(0, 5, 50), (1, 5, 51), (2, 5, 50), (3, 6, 60), (4, 6, 60)], "doc_id long, set_id long, other_id long")
+    got = {r.doc_id: r.set_id for r in near_dedup.apart(rows).collect()}
+    assert got[0] == got[2] != got[1] and got[3] == got[4] == 6 and len({got[0], got[1], got[3]}) == 3
+    assert near_dedup.apart(rows.filter("set_id = 6")).columns == ["doc_id", "set_id"]
+
+
+def test_very_long_texts_repeated_rows_and_clashing_columns(spark):
+    long = prose(11, 60_000)
+    texts = [long, edited(long, 2000, 5), edited(long, 9000, 6), prose(12, 60_000), long + " end"]
+    want, sizes = brute(texts)
+    d = docs(spark, texts)
+    d = d.unionByName(d).selectExpr("*", "1 AS set_id", "2 AS component_id", "true AS kept", "3 AS n_shingles")
+    rows = near_dedup.near_duplicates(d).collect()
+    assert len(rows) == 10 and all((r.component_id, r.n_shingles, r.kept) == (want[r.doc_id], sizes[r.doc_id], want[r.doc_id] == r.doc_id) for r in rows)
+
+
 def test_sketch_bounds_are_lossless_at_the_threshold(spark):
     """Pairs of long texts just above the threshold are found."""
     texts = []

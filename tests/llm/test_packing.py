@@ -52,6 +52,13 @@ def test_pieces_and_places(spark):
     assert p.pack(docs(spark, []), PATH).count() == 0
 
 
+def test_very_long_texts_and_clashing_columns(spark):
+    texts = [prose(1, 150_000), "x" * 20_000, prose(2, 50)]
+    d = docs(spark, texts).selectExpr("*", "1 AS piece", "2 AS length", "3 AS start", "4 AS sequence_id", "5 AS offset", "6 AS part")
+    rows = p.pack(d, PATH).collect()
+    assert check(rows, texts) <= -(-sum(r.length for r in rows) // 4096) + 1
+
+
 def test_repeated_rows_are_packed_each(spark):
     d = docs(spark, ["a b c"]).unionByName(docs(spark, ["a b c"]))
     rows = p.pack(d, PATH).collect()

@@ -75,6 +75,17 @@ def test_defined_cases(spark):
     assert [(r.spans, r.n_email) for r in pii.digest(pii.find_pii(d)).collect()] == [("email:0:6", 1)]
 
 
+def test_repeated_rows_and_overlaps(spark):
+    """Kinds that overlap keep their spans; redaction takes the earlier and longer one; rows repeat."""
+    text = "call +4111 1111 1111 1111 or 4111 1111 1111 1111@x.de"
+    d = docs(spark, [text])
+    found = pii.find_pii(d.unionByName(d))
+    rows = pii.digest(found).collect()
+    assert len(rows) == 2 and all(r.base_sha256 == hashlib.sha256(",".join(base(text)).encode()).hexdigest() for r in rows)
+    red = {r.text for r in pii.redact(found).collect()}
+    assert len(red) == 1 and "4111" not in red.pop()
+
+
 def test_em_recovers_reliabilities():
     import numpy as np
 

@@ -75,6 +75,16 @@ def test_other_candidates_are_added_and_prose_is_not(spark):
     assert rows[1].spans == "" and rows[2].spans == ""
 
 
+def test_repeated_rows_ties_and_very_long_texts(spark):
+    """Two forms that begin at one place stand in the listed order; rows that repeat are searched each."""
+    tie = "secret=" + "a" * 40
+    long = prose(3, 40_000) + " token=abcdefgh1 " + "A" * 300_000
+    d = docs(spark, [tie, long, "key " + "0123456789abcdef" * 2])
+    rows = s.scan(d.unionByName(d)).collect()
+    assert len(rows) == 6 and all(r.base_sha256 == hashlib.sha256(base(t).encode()).hexdigest() for r in rows for t in [[tie, long, "key " + "0123456789abcdef" * 2][r.doc_id]])
+    assert {(r.doc_id, r.spans) for r in rows if r.doc_id != 1} == {(0, f"assign:0:47,hex:7:47"), (2, "hex:4:36")}
+
+
 def test_defined_cases(spark):
     assert s.scan(docs(spark, [])).count() == 0
     d = docs(spark, ["token=abcdefgh9"]).selectExpr("*", "1 AS SPANS")

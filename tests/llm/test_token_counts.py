@@ -51,3 +51,9 @@ def test_long_pre_tokens_count_like_the_library():
     assert COUNTER.count(texts) == want(texts)
     start = time.perf_counter()
     assert COUNTER.count(["x" + letters(10**6)])[0] > 10**5 and time.perf_counter() - start < 10
+
+
+def test_repeated_rows_are_counted_each(spark):
+    d = docs(spark, [prose(1, 50), "x"])
+    got = token_counts.token_counts(d.unionByName(d), PATH).collect()
+    assert sorted(r.n_tokens for r in got) == sorted(want([prose(1, 50), "x"]) * 2)
