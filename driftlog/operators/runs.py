@@ -64,14 +64,22 @@ def text_runs(inserts: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
 def partly(runs: DataFrame, pick: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
     """What a replica knows that has missed all places of whole runs but those that pick says."""
+    names = runs.columns
 
-    @F.pandas_udf("text string, places binary")
-    def left(text: pd.Series) -> pd.DataFrame:
-        masks = [pick(np.arange(len(x)), len(x)) for x in text]
-        return pd.DataFrame({"text": [letters(points(t)[m]) for t, m in zip(text, masks, strict=True)], "places": [pack(m) for m in masks]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b):
+                texts, sets = [], []
+                for x in part.column("text"):
+                    codes = points(x.as_py())
+                    mask = pick(np.arange(len(codes)), len(codes))
+                    texts.append(letters(codes[mask]))
+                    sets.append(pack(mask))
+                made = {"text": pa.array(texts, pa.string()), "places": pa.array(sets, pa.binary())}
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in names], names=names)
 
     reachable(runs.sparkSession)
-    return runs.withColumn("x", left("text")).withColumns({"text": F.col("x.text"), "places": F.col("x.places")}).drop("x").filter(F.length("text") > 0)
+    return runs.mapInArrow(run, runs.schema).filter(F.length("text") > 0)
 
 
 def points(text: str) -> np.ndarray:
@@ -82,6 +90,12 @@ def letters(codes: np.ndarray) -> str:
     return codes.tobytes().decode("utf-32-le")
 
 
+def slices(b: pa.RecordBatch, most: int = 200) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that a worker holds the objects of a few texts only."""
+    for i in range(0, b.num_rows, most):
+        yield b.slice(i, most)
+
+
 def together(rows: DataFrame, key: Sequence[str], work: Callable[[list[dict]], Iterable[tuple]], shape: str) -> DataFrame:
     """key and what work makes (rows of that shape) of all rows of each key."""
     own = rows.groupBy(*key).agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in key))).alias("own"))
@@ -90,15 +104,16 @@ def together(rows: DataFrame, key: Sequence[str], work: Callable[[list[dict]], I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, made = [], []
-            for i, x in enumerate(b.column("own")):
-                for row in work(x.as_py()):
-                    at.append(i)
-                    made.append(row)
-            if made:
-                keys = [b.column(k).take(pa.array(at, pa.int64())) for k in key]
-                cols = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*keys, *cols], names=out.names)
+            for part in slices(b):
+                at, made = [], []
+                for i, x in enumerate(part.column("own")):
+                    for row in work(x.as_py()):
+                        at.append(i)
+                        made.append(row)
+                if made:
+                    keys = [part.column(k).take(pa.array(at, pa.int64())) for k in key]
+                    cols = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*keys, *cols], names=out.names)
 
     reachable(rows.sparkSession)
     return own.mapInArrow(run, out)
