@@ -32,16 +32,27 @@ def level(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
     return grouped.select(F.col("range").alias("key"), F.sha2(F.array_join(F.transform("own", lambda x: x["hash"]), ""), 256).alias("hash"))
 
 
-def root(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
+def root(nodes: DataFrame, fanout: int = FANOUT, levels: int | None = None) -> DataFrame:
     """The tree's top (no row without leaves): as many levels as the range of the keys needs, however many
-    keys there are. Keys on both sides of 0 meet in a last node."""
+    keys there are. Keys on both sides of 0 meet in a last node. With levels given, the top is above so many,
+    whatever the keys, and null without leaves: trees of one depth can be compared as their keys grow."""
+    if levels is not None:
+        for _ in range(levels):
+            nodes = level(nodes, fanout)
+        return top(nodes)
     lo, hi = nodes.agg(F.min("key"), F.max("key")).first()
     if lo is None:
         return nodes
     while lo != hi and (lo, hi) != (-1, 0):
         nodes, lo, hi = level(nodes, fanout), lo // fanout, hi // fanout
-    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "hash"))), lambda x: x["hash"]), "")
-    return nodes.agg(top.alias("hashes")).select(F.lit(0).cast("long").alias("key"), F.sha2("hashes", 256).alias("hash"))
+    return top(nodes)
+
+
+def top(nodes: DataFrame) -> DataFrame:
+    """One node above all."""
+    own = nodes.agg(F.array_sort(F.collect_list(F.struct("key", "hash"))).alias("own"))
+    hashes = F.when(F.size("own") > 0, F.array_join(F.transform("own", lambda x: x["hash"]), ""))
+    return own.select(F.lit(0).cast("long").alias("key"), F.sha2(hashes, 256).alias("hash"))
 
 
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -18,3 +18,11 @@ def test_streams_read_folders(name, table, spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
     got, want = both(spark, str(tmp_path), name, table)
     assert got == want and got
+
+
+@pytest.mark.parametrize("keys", [[0, 5], [1, 3_000_000], [*range(1020, 1030), 1_048_575, 1_048_576, 9_000_000], []])
+def test_merkle_root_of_any_range(keys, spark, tmp_path):
+    rows = [(k, k + 0.25, "FOP"[k % 3]) for k in keys]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    got, want = both(spark, str(tmp_path), "merkle_root", "orders")
+    assert got == want and len(got) == 1
