@@ -18,6 +18,7 @@ ids are packed each; an empty table gives no rows; columns other than doc_id and
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from bisect import bisect_right
@@ -27,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,33 +36,55 @@ from driftlog.llm.common import by_size, kept, materialise, small_batches, table
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers (twice as many at most), and characters that it splits at once.
-REMEMBERED, AT_ONCE = 250_000, 500_000
+#: Pre-tokens whose ids a worker remembers (twice as many at most), and characters that it splits at once.
+REMEMBERED, AT_ONCE = 250_000, 1_000_000
+#: New pre-tokens that go to the library together.
+ASKED = 20_000
+#: Where a long text may be split.
+GAP = re.compile(rb"[ \n]")
 #: Coarse classes of length, and documents in an enumerated pattern at most.
 CLASSES, FEW = 64, 4
 
 
 class WordIds:
-    """Ids of texts as little-endian 32-bit bytes; words met before are not encoded again.
+    """Ids of texts as little-endian 32-bit bytes; pre-tokens met before are not encoded again.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are those of its
-    words in turn. New words go to the library together; the ids of each of their pre-tokens end
-    with a symbol that marks a word's end. Texts with special strings or rare control characters
-    go to the library whole.
+    The vocabulary drops white space and never merges across pre-tokens, so a text's ids are those of
+    its pre-tokens in turn. Many texts' bytes are cut into them at once, each different one is looked up
+    once, and new ones go to the library's model together; the ids of each end with a symbol that marks
+    a word's end. Texts with special strings, or with characters that the library normalises by another
+    version of Unicode, go to the library whole.
     """
 
+    #: Classes of characters: pre-tokens are runs of letters or others, and single digits.
+    UNKNOWN, SPACE, LETTER, DIGIT, OTHER = range(5)
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)  # no more than the merges
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.rare = ["<|startoftext|>", "<|endoftext|>", *"\x1c\x1d\x1e\x1f\x85\u180e\u200b"]
-        self.token = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.split = self.tokenizer.pre_tokenizer[0]
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.met: set[str] = set()
+        self.odd: set[str] = set()
+        self.classes = np.zeros(0x110000, np.uint8)
+        self.classify(np.arange(128))
+        # the characters that stand for bytes: printable ones for themselves, others from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = np.zeros(256, "<u4")
+        self.letters[plain] = plain
+        other = np.setdiff1d(np.arange(256), plain)
+        self.letters[other] = 256 + np.arange(len(other))
+        self.letters[32] = 32  # never inside a pre-token: it stands between two
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [
@@ -70,52 +92,139 @@ class WordIds:
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
-    def words(self, text: str) -> list[str]:
+    def merged(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens, from the library's model."""
+
+        def ids(own: list[bytes]) -> np.ndarray:
+            text = self.letters[np.frombuffer(b" ".join(own), np.uint8)].tobytes().decode("utf-32-le")
+            return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+        found = ids(parts)
+        cuts = (np.flatnonzero(self.ends[found]) + 1).tolist()
+        if len(cuts) != len(parts):
+            return [ids([p]).tobytes() for p in parts]
+        found = found.tobytes()
+        return [found[4 * i : 4 * j] for i, j in zip([0, *cuts], cuts, strict=False)]
+
+    def classify(self, points: np.ndarray) -> np.ndarray:
+        """The class of each code point; the library's pattern tells it when first met."""
+        found = self.classes[points]
+        if not found.all():
+            for p in np.unique(points[found == self.UNKNOWN]).tolist():
+                c = chr(p)
+                alone, after = (len(self.split.pre_tokenize_str(x)) for x in (c + c, "a" + c))
+                self.classes[p] = (
+                    self.SPACE if alone == 0 else self.DIGIT if alone == 2 else self.LETTER if after == 1 else self.OTHER
+                )
+            found = self.classes[points]
+        return found
+
+    def starts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Which bytes begin a pre-token, and which are not white space; the text ends with white space."""
+        a = np.frombuffer(text, np.uint8)
+        kinds = self.classes[a]
+        plain = text.isascii()
+        if not plain:
+            lead = np.flatnonzero(a >= 0xC0)
+            first = a[lead]
+            more = 1 + (first >= 0xE0) + (first >= 0xF0).astype(int)
+            for n in (1, 2, 3):
+                at = lead[more == n]
+                points = a[at].astype(np.int32) & (0x3F >> n)
+                for k in range(1, n + 1):
+                    points = points << 6 | (a[at + k] & 0x3F)
+                found = self.classify(points)
+                for k in range(n + 1):
+                    kinds[at + k] = found
+        solid = kinds != self.SPACE
+        start = solid.copy()
+        start[1:] &= (kinds[1:] != kinds[:-1]) | (kinds[1:] == self.DIGIT)
+        if not plain:
+            start &= (a & 0xC0) != 0x80
+        # 's 't 'm 'd and 're 've 'll where the apostrophe begins a pre-token
+        at = np.flatnonzero(a == 39)
+        at = at[start[at]]
+        short = at[np.isin(a[at + 1], np.frombuffer(b"stmd", np.uint8))]
+        pair = at[solid[at + 1]]  # then two more bytes follow
+        both = a[pair + 1].astype(int) << 8 | a[pair + 2]
+        pair = pair[np.isin(both, [x << 8 | y for x, y in (b"re", b"ve", b"ll")])]
+        for own, n in ((short, 2), (pair, 3)):
+            start[own + 1] = False
+            start[own + n] |= solid[own + n]
+        return start, solid
+
+    def lowered(self, text: str) -> bytes:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # the library lowers each character by itself: no final sigma
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        return text.split()
+        return ("".join(map(str.lower, text)) if "Σ" in text else text.lower()).encode()
 
-    def remember(self, words: set[str]) -> None:
-        """Afterwards all of these words are known; what has not been met for long is forgotten."""
-        if len(self.known) + len(words) > REMEMBERED:
+    def apart(self, text: str) -> bool:
+        """Whether only the library can tell this text's ids."""
+        if any(map(text.__contains__, self.special)):
+            return True
+        if text.isascii():
+            return False
+        chars = set(text)
+        for c in chars - self.met:
+            self.met.add(c)
+            # alone, and beside marks that it may change places with
+            if any(self.normal.normalize_str(x) != self.lowered(x).decode() for x in (c, "a" + c, c + "\u0334", "\u0345" + c)):
+                self.odd.add(c)
+        return not self.odd.isdisjoint(chars)
+
+    def lookup(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of different pre-tokens; what has not been met for long is forgotten."""
+        found = list(map(self.known.get, parts))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if not new:
+            return found
+        ask = []
+        for i in new:
+            found[i] = self.older.get(parts[i])
+            if found[i] is None:
+                ask.append(i)
+        for k in range(0, len(ask), ASKED):
+            own = ask[k : k + ASKED]
+            for i, ids in zip(own, self.merged([parts[i] for i in own]), strict=True):
+                found[i] = ids
+        if len(self.known) + len(new) > REMEMBERED:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        split, new = {}, {}
-        for w in words:
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
-                continue
-            split[w] = parts = [w] if w.isalpha() else self.token.findall(w)
-            for p in parts:
-                if p not in known:
-                    new[p] = older.get(p)
-        ask = [p for p, ids in new.items() if ids is None]
-        if ask:
-            ids = self.encoded([" ".join(ask)])[0]
-            cuts = (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1).tolist()
-            if len(cuts) == len(ask):
-                new.update(zip(ask, [ids[4 * i : 4 * j] for i, j in zip([0, *cuts], cuts, strict=False)], strict=True))
-            else:
-                new.update(zip(ask, self.encoded(ask), strict=True))
-        known.update(new)
-        for w, parts in split.items():
-            if len(parts) != 1 or parts[0] != w:
-                known[w] = b"".join(map(known.__getitem__, parts))
+        self.known.update((parts[i], found[i]) for i in new)
+        return found
+
+    def stretch(self, text: bytes, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The ids of a text that ends with white space, and how many bytes of them come before each of ends."""
+        start, solid = self.starts(text)
+        at = np.flatnonzero(start)
+        before = np.searchsorted(at, ends)
+        bare = np.frombuffer(text, np.uint8)[solid]
+        offsets = np.append(np.flatnonzero(start[solid]), len(bare)).astype(np.int64)
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(bare)])
+        parts = parts.dictionary_encode()
+        if not len(parts):
+            return b"", before
+        each = pa.array(self.lookup(parts.dictionary.to_pylist()), pa.large_binary()).take(parts.indices)
+        _, places, ids = each.buffers()
+        return ids.to_pybytes(), np.frombuffer(places, np.int64, len(each) + 1)[before]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if any(map(t.__contains__, self.rare))}
-        split = [[] if i in whole else self.words(t) for i, t in enumerate(texts)]
-        known = self.known
-        if new := set().union(*split).difference(known):
-            self.remember(new)
-        if self.known is not known:  # it has just begun anew: the rest of the batch, too
-            self.remember(set().union(*split))
-            known = self.known
+        whole = {i for i, t in enumerate(texts) if self.apart(t)}
+        own = [b"" if i in whole else self.lowered(t) for i, t in enumerate(texts)]
+        ends = np.cumsum([len(t) + 1 for t in own])
+        text = b"\n".join([*own, b""])
+        found, cuts, at, had, i = [], [0], 0, 0, 0
+        while at < len(text):  # long texts in stretches that end with white space
+            to = m.end() if (m := GAP.search(text, at + AT_ONCE)) else len(text)
+            j = int(np.searchsorted(ends, to, "right"))
+            part, places = self.stretch(text[at:to], ends[i:j] - at)
+            found.append(part)
+            cuts += (places + had).tolist()
+            at, had, i = to, had + len(part), j
+        every = b"".join(found)
         return [
-            self.encoded([t])[0] if i in whole else b"".join(map(known.__getitem__, ws))
-            for i, (t, ws) in enumerate(zip(texts, split, strict=True))
+            self.encoded([t])[0] if i in whole else every[cuts[i] : cuts[i + 1]]
+            for i, t in enumerate(texts)
         ]
 
 

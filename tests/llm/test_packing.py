@@ -103,3 +103,39 @@ def test_forgetting_changes_nothing(monkeypatch):
     texts = [prose(i, 12) for i in range(20)]
     for _ in range(2):
         assert w.ids(texts) == [np.array(ids(t), "<u4").tobytes() for t in texts]
+
+
+def test_each_pre_token_is_asked_for_and_remembered_once(monkeypatch):
+    w, asked, merged = p.WordIds(PATH), [], p.WordIds.merged
+    monkeypatch.setattr(p.WordIds, "merged", lambda self, parts: asked.extend(parts) or merged(self, parts))
+    monkeypatch.setattr(w, "encoded", None)  # whole texts, as only rare ones need it
+    texts = ["abcde abcde, (abcde) abcde's", "Abcde. 12 (É) É!", prose(1, 500), prose(1, 500) + "."]
+    for _ in range(2):
+        assert w.ids(texts) == [np.array(ids(t), "<u4").tobytes() for t in texts]
+    assert sorted(asked) == sorted(set(asked)) == sorted(w.known)
+    assert {b"abcde", b",", b"(", b")", b"'s", b".", b"1", b"2", "é".encode(), b"!"} <= w.known.keys()
+    assert b"abcde," not in w.known
+
+
+def test_characters_are_classed_and_lowered_as_the_library_does():
+    points = {*range(0x250), *range(0x250, 0x110000, 211), 0x558, 0x180E, 0x1C89, 0x200B, 0xA7CB, 0x1E6E3, 0x32000}
+    texts = [f"a{chr(c)}b {chr(c)}'s\u0334{chr(c)}1" for c in sorted(points) if not 0xD800 <= c < 0xE000]
+    w = p.WordIds(PATH)
+    for i in range(0, len(texts), 500):
+        assert w.ids(texts[i : i + 500]) == w.encoded(texts[i : i + 500])
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(st.text(st.sampled_from("abstmdrevl'''  \n\t.,!12\x00\x1c\x85éΣσİß½٣文\u00a0\u3000\u0301\u0345\u0334🙂\u200b\u0558"), max_size=40), max_size=8),
+    st.sampled_from([1, 5, 1_000_000]),
+    st.sampled_from([1, 3, 20_000]),
+)
+def test_texts_are_cut_as_the_library_cuts_them(texts, at_once, asked):
+    w = p.word_ids(PATH)
+    before = p.AT_ONCE, p.ASKED
+    p.AT_ONCE, p.ASKED = at_once, asked
+    try:
+        assert w.ids(texts) == w.encoded(texts)
+    finally:
+        p.AT_ONCE, p.ASKED = before
